@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -188,12 +189,6 @@ def shared_anchors(
     return sent.groupBy("bucket").applyInArrow(meet, "block_id long, keys binary, hot binary")
 
 
-_RUNS = pa.schema(
-    [("key", pa.int64()), ("sid", pa.int64()), ("seg", pa.binary()), ("doc_id", pa.int64()), ("block_id", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("windows", pa.int32())]
-)
-RUN_SCHEMA = "key long, sid long, seg binary, doc_id long, block_id long, place long, at long, windows int"
-
-
 def _spread(runs: Runs, which: np.ndarray) -> Runs:
     """Every window of the chosen runs as a run of its own."""
     count = runs.count[which]
@@ -201,133 +196,183 @@ def _spread(runs: Runs, which: np.ndarray) -> Runs:
     return Runs(np.repeat(runs.first[which], count) + step, np.ones(len(step), np.int64), np.repeat(runs.key[which], count), np.repeat(runs.doc[which], count))
 
 
-def shared_runs(
-    blocks: DataFrame, replies: DataFrame, units_of: Callable[[bytes, np.ndarray], Units], window: int, gram: int, buckets: int, texts: bool
-) -> DataFrame:
-    """The runs whose anchor is shared, with their text (``texts``; one row for each text of a
-    block, that of its first place) or with every place (``seg`` is null then).
-
-    Runs of hot anchors are dealt out window by window, by the hash of the window.
-    """
-    import xxhash
+@dataclass
+class Places:
+    """Runs of a block whose anchor is shared, and their distinct texts.
 
-    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if right.num_rows:
-            flagged = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist()]))
-            hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hot").to_pylist()]))
-            for row in left.to_pylist():
-                ids, offsets, data = open_block(row)
-                units = units_of(data, offsets)
-                runs = runs_of(units, window, gram)
-                fold = folded(runs.key, buckets)
-                use = np.isin(fold, flagged)
-                warm = use & np.isin(fold, hot)
-                parts = [(use & ~warm, runs)]
-                if warm.any():
-                    spread = _spread(runs, np.flatnonzero(warm))
-                    parts.append((np.ones(len(spread.key), bool), spread))
-                for n, (mask, chosen) in enumerate(parts):
-                    at = np.flatnonzero(mask)
-                    if not len(at):
-                        continue
-                    first, count = chosen.first[at], chosen.count[at]
-                    lo, hi = units.starts[first].tolist(), units.ends[first + count + window - 2].tolist()
-                    segs = [units.data[a:b] for a, b in zip(lo, hi)]
-                    sid = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in segs), np.uint64, len(segs)).astype(np.int64)
-                    key = chosen.key[at].astype(np.int64) if n == 0 else sid
-                    doc, place = ids[chosen.doc[at]], first - units.docs[chosen.doc[at]]
-                    columns = [key, sid, segs if texts else [None] * len(segs), doc, np.full(len(at), row["block_id"]), place, first, count.astype(np.int32)]
-                    if texts:
-                        best: dict[bytes, int] = {}
-                        for i in np.lexsort((place, doc)).tolist():
-                            best.setdefault(segs[i], i)
-                        keep = np.fromiter(best.values(), np.int64, len(best))
-                        columns = [[c[i] for i in keep.tolist()] if isinstance(c, list) else c[keep] for c in columns]
-                    out.append(record_batch(_RUNS, *columns))
-        return pa.Table.from_batches(out, schema=_RUNS)
-
-    return blocks.groupBy("block_id").cogroup(replies.groupBy("block_id")).applyInArrow(pick, RUN_SCHEMA)
-
-
-def by_key(texts: DataFrame, compare: Callable[[list[tuple]], list], window: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Distinct run texts, in batches of whole keys, through ``compare``.
-
-    ``compare`` gets (text, windows, doc_id, place) of the distinct runs of a batch, ordered by
-    first place, and returns for each of them the windows that stand earlier, as int32 pairs
-    (from, to).  Rows: key, sid, doc_id and place of the first occurrence, dup.
+    doc, place, at, count, text: of each run, the last a number in ``texts``; first: the first
+    run (by document, then place) with each text; order: the texts by bucket; fold: their keys.
     """
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("owner", pa.int64()), ("owner_place", pa.int64()), ("dup", pa.binary())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple] = {}
-        size = 0
 
-        def flush():
-            rows = sorted(held.values(), key=lambda r: (r[2], r[3]))
-            dup = compare([r[:4] for r in rows])
-            return record_batch(schema, [r[4] for r in rows], [r[5] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [np.asarray(d, np.int32).tobytes() for d in dup])
-
-        last = None
-        for batch in batches:
-            for key, sid, seg, doc, place, windows in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "seg", "doc_id", "place", "windows"))):
-                if key != last and size >= batch_bytes:
-                    yield flush()
-                    held, size = {}, 0
-                last = key
-                old = held.get((key, seg))
-                if old is None:
-                    size += len(seg)
-                if old is None or (doc, place) < old[2:4]:
-                    held[key, seg] = (seg, windows, doc, place, key, sid)
-        if held:
-            yield flush()
-
-    columns = ["key", "sid", "seg", "doc_id", "place", "windows"]
-    dealt = texts.select(*columns).repartition(shuffle_partitions(texts.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "key long, sid long, owner long, owner_place long, dup binary")
+    doc: np.ndarray
+    place: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    text: np.ndarray
+    texts: list[bytes]
+    first: np.ndarray
+    fold: np.ndarray
+    order: np.ndarray
+
+
+def places_of(ids: np.ndarray, units: Units, flagged: np.ndarray, hot: np.ndarray, window: int, gram: int, buckets: int) -> Places:
+    """Runs of hot anchors are dealt out window by window, by the hash of the window."""
+    runs = runs_of(units, window, gram)
+    fold = folded(runs.key, buckets)
+    use = np.isin(fold, flagged)
+    warm = use & np.isin(fold, hot) if len(hot) else np.zeros(len(use), bool)
+    cold = use & ~warm
+    spread = _spread(runs, np.flatnonzero(warm))
+    at, count = np.r_[runs.first[cold], spread.first], np.r_[runs.count[cold], spread.count]
+    ordinal, fold = np.r_[runs.doc[cold], spread.doc], fold[cold]
+    lo, hi = units.starts[at].tolist(), units.ends[at + count + window - 2].tolist()
+    segs = [units.data[a:b] for a, b in zip(lo, hi)]
+    if len(spread.first):
+        own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in segs[len(fold) :]), np.uint64, len(spread.first))
+        fold = np.r_[fold, folded(own, buckets)]
+    doc, place = ids[ordinal], at - units.docs[ordinal]
+    numbers: dict[bytes, int] = {}
+    text, first = np.empty(len(at), np.int64), []
+    for i in np.lexsort((place, doc)).tolist():
+        text[i] = n = numbers.setdefault(segs[i], len(numbers))
+        if n == len(first):
+            first.append(i)
+    firsts = np.array(first, np.int64)
+    return Places(doc, place, at, count, text, list(numbers), firsts, fold[firsts], np.argsort(fold[firsts] >> np.uint64(32), kind="stable"))
+
+
+def _flags(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in replies.column(c).to_pylist() if x)])) for c in ("keys", "hot")]
+    return keys[0], keys[1]
+
+
+_TEXTS = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())])
+_JUDGED = pa.schema([("block_id", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary()), ("bucket", pa.int32()), ("all", pa.binary()), ("dup", pa.binary())])
+JUDGED = "block_id long, keys binary, hot binary, bucket int, all binary, dup binary"
 
 
 def repeated_windows(
-    docs: DataFrame, units_of: Callable[[bytes, np.ndarray], Units], compare: Callable[[list[tuple]], list], *, window: int, gram: int, within: bool, hot_blocks: int, name: str
-) -> tuple[DataFrame, DataFrame]:
-    """Blocks, and the repeated windows in them: block_id, at (unit of the block), windows, dup.
+    docs: DataFrame,
+    units_of: Callable[[bytes, np.ndarray], Units],
+    compare: Callable[[list[tuple]], list],
+    finish: Callable[[np.ndarray, np.ndarray, Units, np.ndarray], pa.RecordBatch],
+    schema: tuple[str, pa.Schema],
+    *,
+    window: int,
+    gram: int,
+    within: bool,
+    hot_blocks: int,
+    name: str,
+    batch_bytes: int = 1 << 20,
+) -> DataFrame:
+    """Find the units covered by repeated windows, block by block, and ``finish`` the blocks.
 
-    ``dup`` null: all of these windows; else int32 pairs from ``at`` on.
+    ``compare`` gets (text, windows, doc_id, place) of distinct runs with all their partners, by
+    first place, and returns for each of them the windows that stand earlier, as (from, to) pairs.
+    ``finish`` gets document ids, offsets, units and the flags of the units to remove.
     """
-    spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
     blocks = text_blocks(docs, f"{name}-blocks")
-    replies = materialize(shared_anchors(blocks, units_of, window, gram, buckets, within, hot_blocks), f"{name}-anchors")
-    places = shared_runs(blocks, replies, units_of, window, gram, buckets, texts=False)
-    texts = shared_runs(blocks, replies, units_of, window, gram, buckets, texts=True)
-    firsts = by_key(texts, compare, window)
-    own = F.col("doc_id") == F.col("owner")
-    later = F.col("doc_id") > F.col("owner")
-    if within:
-        later |= own & (F.col("place") > F.col("owner_place"))
-    hits = (
-        places.select("key", "sid", "doc_id", "block_id", "place", "at", "windows")
-        .join(firsts, ["key", "sid"])
-        .where(later | (F.length("dup") > 0))
-        .select("block_id", "at", "windows", F.when(~later, F.col("dup")).alias("dup"))
-    )
-    return blocks, hits
-
-
-def covered(hits: pa.Table, n_units: int, window: int) -> np.ndarray:
-    """Units covered by the repeated windows of a block."""
-    edge = np.zeros(n_units + 1, np.int64)
-    at = hits.column("at").to_numpy().astype(np.int64)
-    count = hits.column("windows").to_numpy().astype(np.int64)
-    dup = hits.column("dup")
-    whole = dup.is_null().to_numpy()
-    lo, hi = [at[whole]], [at[whole] + count[whole]]
-    for a, pairs in zip(at[~whole].tolist(), dup.drop_null().to_pylist()):
-        p = np.frombuffer(pairs, np.int32).reshape(-1, 2).astype(np.int64)
-        lo.append(a + p[:, 0])
-        hi.append(a + p[:, 1])
-    lo, hi = np.concatenate(lo), np.concatenate(hi)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi + window - 1, -1)
-    return np.cumsum(edge)[:n_units] > 0
+    shared = materialize(shared_anchors(blocks, units_of, window, gram, buckets, within, hot_blocks), f"{name}-anchors")
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, squeeze = [], zstandard.ZstdCompressor(level=3)
+        flagged, hot = _flags(right)
+        for row in left.to_pylist() if len(flagged) else []:
+            ids, offsets, data = open_block(row)
+            units = units_of(data, offsets)
+            found = places_of(ids, units, flagged, hot, window, gram, buckets)
+            bucket = (found.fold[found.order] >> np.uint64(32)).astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+            payloads, sizes = [], []
+            for a, b in zip(cut, [*cut[1:], len(bucket)]):
+                which = found.order[a:b]
+                runs, texts = found.first[which], [found.texts[i] for i in which.tolist()]
+                parts = [found.fold[which].astype(np.uint32), np.array([len(t) for t in texts], np.uint32), found.count[runs].astype(np.uint32), found.place[runs].astype(np.uint32) if within else np.zeros(len(runs), np.uint32), found.doc[runs]]
+                payloads.append(squeeze.compress(b"".join([*(p.tobytes() for p in parts), *texts])))
+                sizes.append(b - a)
+            if payloads:
+                out.append(record_batch(_TEXTS, bucket[cut], np.full(len(cut), row["block_id"]), np.array(sizes, np.int32), payloads))
+        return pa.Table.from_batches(out, schema=_TEXTS)
+
+    def judge(group: pa.Table) -> pa.Table:
+        rows = []  # key, text, windows, doc, place, sender, number
+        for sender, (n, payload) in enumerate(zip(group.column("n").to_pylist(), group.column("payload").to_pylist())):
+            raw = zstandard.ZstdDecompressor().decompress(payload)
+            low, lengths, count, place = (np.frombuffer(raw, np.uint32, n, 4 * n * i).tolist() for i in range(4))
+            doc, at = np.frombuffer(raw, np.int64, n, 16 * n).tolist(), 24 * n
+            for i in range(n):
+                rows.append((low[i], raw[at : at + lengths[i]], count[i], doc[i], place[i], sender, i))
+                at += lengths[i]
+        rows.sort(key=lambda r: r[0])
+        whole = [np.zeros(n, bool) for n in group.column("n").to_pylist()]
+        spans: list[list[int]] = [[] for _ in whole]
+        start = 0
+        while start < len(rows):
+            stop, size = start, 0
+            while stop < len(rows) and (size < batch_bytes or rows[stop][0] == rows[stop - 1][0]):
+                size += len(rows[stop][1])
+                stop += 1
+            firsts: dict[bytes, tuple] = {}
+            for r in rows[start:stop]:
+                old = firsts.get(r[1])
+                if old is None or (r[3], r[4]) < old[2:]:
+                    firsts[r[1]] = (r[1], r[2], r[3], r[4])
+            ordered = sorted(firsts.values(), key=lambda r: (r[2], r[3]))
+            dup = dict(zip((r[0] for r in ordered), compare(ordered)))
+            for _, text, _, doc, place, sender, i in rows[start:stop]:
+                if (doc, place) > firsts[text][2:]:
+                    whole[sender][i] = True
+                elif len(dup[text]):
+                    spans[sender] += [i, len(dup[text]) // 2, *dup[text]]
+            start = stop
+        keep = [i for i in range(len(whole)) if whole[i].any() or spans[i]]
+        none = [None] * len(keep)
+        blocks_, buckets_ = group.column("block_id").to_pylist(), group.column("bucket").to_pylist()
+        batch = record_batch(
+            _JUDGED, [blocks_[i] for i in keep], none, none, [buckets_[i] for i in keep], [np.packbits(whole[i]).tobytes() for i in keep],
+            [np.array(spans[i], np.int32).tobytes() for i in keep],
+        )
+        return pa.Table.from_batches([batch], schema=_JUDGED)
+
+    def close(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        flagged, hot = _flags(right)
+        for row in left.to_pylist():
+            ids, offsets, data = open_block(row)
+            units = units_of(data, offsets)
+            edge = np.zeros(len(units.hashes) + 1, np.int64)
+            judged = right.filter(right.column("bucket").is_valid()).to_pylist()
+            if len(flagged):
+                found = places_of(ids, units, flagged, hot, window, gram, buckets)
+                bucket = (found.fold[found.order] >> np.uint64(32)).astype(np.int64)
+                whole, dup = np.zeros(len(found.texts), bool), {}
+                for x in judged:
+                    a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+                    which = found.order[a:b]
+                    whole[which] = np.unpackbits(np.frombuffer(x["all"], np.uint8))[: b - a].astype(bool)
+                    spans, at = np.frombuffer(x["dup"], np.int32), 0
+                    while at < len(spans):
+                        dup[int(which[spans[at]])] = spans[at + 2 : at + 2 + 2 * spans[at + 1]].reshape(-1, 2)
+                        at += 2 + 2 * int(spans[at + 1])
+                first = found.first[found.text]
+                later = found.doc > found.doc[first]
+                if within:
+                    later |= (found.doc == found.doc[first]) & (found.place > found.place[first])
+                gone = later | whole[found.text]
+                lo, hi = [found.at[gone]], [found.at[gone] + found.count[gone]]
+                partly = np.zeros(len(found.texts), bool)
+                partly[list(dup)] = True
+                for i in np.flatnonzero(partly[found.text] & ~gone).tolist():
+                    pairs = dup[int(found.text[i])] + found.at[i]
+                    lo.append(pairs[:, 0])
+                    hi.append(pairs[:, 1])
+                np.add.at(edge, np.concatenate(lo), 1)
+                np.add.at(edge, np.concatenate(hi) + window - 1, -1)
+            out.append(finish(ids, offsets, units, np.cumsum(edge)[:-1] > 0))
+        return pa.Table.from_batches(out, schema=schema[1])
+
+    texts = blocks.groupBy("block_id").cogroup(shared.groupBy("block_id")).applyInArrow(deal, "bucket int, block_id long, n int, payload binary")
+    judged = texts.groupBy("bucket").applyInArrow(judge, JUDGED)
+    known = shared.withColumns({"bucket": F.lit(None).cast("int"), "all": F.lit(None).cast("binary"), "dup": F.lit(None).cast("binary")})
+    return blocks.groupBy("block_id").cogroup(known.unionByName(judged).groupBy("block_id")).applyInArrow(close, schema[0])

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import NO_ID, Units, covered, mixed, open_block, repeated_windows
+from .anchors import NO_ID, Units, mixed, repeated_windows
 from .common import record_batch
 
 WINDOW = 20
@@ -72,6 +72,7 @@ def factor(rows: list[tuple], window: int = WINDOW) -> list[list[int]]:
     return out
 
 
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
@@ -80,31 +81,20 @@ def dedup_words(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int = HOT_
     Returns doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept (the remaining
     words, joined by one space)."""
     gram = GRAM if window >= 2 * GRAM else 1
-    blocks, hits = repeated_windows(
-        docs, word_units, lambda rows: factor(rows, window), window=window, gram=gram, within=True, hot_blocks=hot_blocks, name="words"
-    )
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            ids, offsets, data = open_block(row)
-            units = word_units(data, offsets)
-            gone = covered(right, len(units.hashes), window)
-            total = np.r_[0, np.cumsum(gone)]
-            removed = total[units.docs[1:]] - total[units.docs[:-1]]
-            kept = []
-            for a, b, n in zip(units.docs[:-1].tolist(), units.docs[1:].tolist(), removed.tolist()):
-                whole = units.data[units.starts[a] : units.ends[b - 1]] if b > a else b""
-                kept.append(b" ".join(compress(whole.split(b" "), (~gone[a:b]).tolist())) if n else whole)
-            out.append(
-                record_batch(
-                    _OUT, pa.array(ids, mask=ids == NO_ID), np.diff(units.docs), removed.astype(np.int64), [hashlib.sha256(k).hexdigest() for k in kept],
-                    [k.decode() for k in kept] if keep_text else [None] * len(kept),
-                )
-            )
-        return pa.Table.from_batches(out, schema=_OUT)
-
-    result = blocks.groupBy("block_id").cogroup(hits.groupBy("block_id")).applyInArrow(
-        finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    def finish(ids: np.ndarray, offsets: np.ndarray, units: Units, gone: np.ndarray) -> pa.RecordBatch:
+        total = np.r_[0, np.cumsum(gone)]
+        removed = total[units.docs[1:]] - total[units.docs[:-1]]
+        kept = []
+        for a, b, n in zip(units.docs[:-1].tolist(), units.docs[1:].tolist(), removed.tolist()):
+            whole = units.data[units.starts[a] : units.ends[b - 1]] if b > a else b""
+            kept.append(b" ".join(compress(whole.split(b" "), (~gone[a:b]).tolist())) if n else whole)
+        return record_batch(
+            _OUT, pa.array(ids, mask=ids == NO_ID), np.diff(units.docs), removed.astype(np.int64), [hashlib.sha256(k).hexdigest() for k in kept],
+            [k.decode() for k in kept] if keep_text else [None] * len(kept),
+        )
+
+    result = repeated_windows(
+        docs, word_units, lambda rows: factor(rows, window), finish, (SCHEMA, _OUT), window=window, gram=gram, within=True, hot_blocks=hot_blocks, name="words"
     )
     return result if keep_text else result.drop("kept")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import NO_ID, Units, covered, open_block, repeated_windows
+from .anchors import NO_ID, Units, repeated_windows
 from .common import record_batch
 
 WINDOW = 50
@@ -109,6 +109,7 @@ def earlier_windows(rows: list[tuple], window: int = WINDOW) -> list[np.ndarray]
     return out
 
 
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 )
@@ -119,31 +120,21 @@ def dedup_bytes(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int = HOT_
     smaller doc_id too.  Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``keep_text``, kept (the remaining bytes)."""
     gram = GRAM if window >= 2 * GRAM else 4
-    blocks, hits = repeated_windows(
-        docs, byte_units, lambda rows: earlier_windows(rows, window), window=window, gram=gram, within=False, hot_blocks=hot_blocks, name="bytes"
-    )
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            ids, offsets, data = open_block(row)
-            gone = covered(right, len(data), window)
-            raw = np.frombuffer(data, np.uint8)
-            kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            lengths = np.diff(offsets)
-            head = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
-            inner = offsets[:-1][lengths > 0]
-            head[inner] = gone[inner]
-            spans = np.r_[0, np.cumsum(head)]
-            out.append(
-                record_batch(
-                    _OUT, pa.array(ids, mask=ids == NO_ID), lengths, lengths - np.array([len(k) for k in kept], np.int64), spans[offsets[1:]] - spans[offsets[:-1]],
-                    [hashlib.sha256(k).hexdigest() for k in kept], kept if keep_text else [None] * len(kept),
-                )
-            )
-        return pa.Table.from_batches(out, schema=_OUT)
-
-    result = blocks.groupBy("block_id").cogroup(hits.groupBy("block_id")).applyInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    def finish(ids: np.ndarray, offsets: np.ndarray, units: Units, gone: np.ndarray) -> pa.RecordBatch:
+        raw = np.frombuffer(units.data, np.uint8)
+        kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        lengths = np.diff(offsets)
+        head = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
+        begins = offsets[:-1][lengths > 0]
+        head[begins] = gone[begins]
+        spans = np.r_[0, np.cumsum(head)]
+        return record_batch(
+            _OUT, pa.array(ids, mask=ids == NO_ID), lengths, lengths - np.array([len(k) for k in kept], np.int64), spans[offsets[1:]] - spans[offsets[:-1]],
+            [hashlib.sha256(k).hexdigest() for k in kept], kept if keep_text else [None] * len(kept),
+        )
+
+    result = repeated_windows(
+        docs, byte_units, lambda rows: earlier_windows(rows, window), finish, (SCHEMA, _OUT), window=window, gram=gram, within=False, hot_blocks=hot_blocks, name="bytes"
     )
     return result if keep_text else result.drop("kept")
