@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import table
+from .simhash import near_duplicates
 from .substring_dedup import dedup_words
 from .suffix_dedup import dedup_bytes
 
@@ -23,10 +24,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
+    "op5_simhash": op5_simhash,
 }
 
 SQL: dict[str, str] = {}
