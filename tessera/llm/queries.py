@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import table
+from .media import fingerprint_media
+from .packing import pack
+from .secrets import scan
 from .simhash import near_duplicates
 from .substring_dedup import dedup_words
 from .suffix_dedup import dedup_bytes
@@ -28,11 +31,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_media(table(spark, sf_dir, "documents"), keep_media=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
+    "op7_secrets": op7_secrets,
+    "op8_media": op8_media,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {}
