@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import table
+from .language import identify
 from .media import fingerprint_media
 from .packing import pack
+from .quality import resample
 from .secrets import scan
 from .simhash import near_duplicates
 from .substring_dedup import dedup_words
@@ -31,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -39,6 +45,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_media(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -48,8 +58,10 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
     "op8_media": op8_media,
+    "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
 
