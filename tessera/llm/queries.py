@@ -9,6 +9,7 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .media import fingerprint_media
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .quality import resample
 from .secrets import scan
@@ -29,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
+    "op4_neighbours": op4_neighbours,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
