@@ -20,30 +20,42 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize, record_batch, shuffle_partitions, slices, text_buffer
 
-BLOCK_SCHEMA = "block_id long, doc_ids binary, offsets binary, payload binary"
-_BLOCK = pa.schema([("block_id", pa.int64()), ("doc_ids", pa.binary()), ("offsets", pa.binary()), ("payload", pa.binary())])
+BLOCK_SCHEMA = "block_id long, doc_ids binary, offsets binary, payload binary, rest binary"
+_BLOCK = pa.schema([("block_id", pa.int64()), ("doc_ids", pa.binary()), ("offsets", pa.binary()), ("payload", pa.binary()), ("rest", pa.binary())])
 _KEYS = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("keys", pa.binary()), ("local", pa.binary())])
 _REPLY = pa.schema([("block_id", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
 #: A document without an id counts as the last one.
 NO_ID = np.iinfo(np.int64).max
 
 
+class Shifted:
+    """The numbers from ``by`` on, to be looked up like an array."""
+
+    def __init__(self, by: int):
+        self.by = by
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return at + self.by
+
+
 @dataclass
 class Units:
     """Units of a block: a hash each, byte bounds in ``data``, and each document's first unit."""
 
     data: bytes
     hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | Shifted
+    ends: np.ndarray | Shifted
     docs: np.ndarray  # len(documents) + 1 offsets into the units
 
 
-def text_blocks(docs: DataFrame, name: str) -> DataFrame:
-    """Documents as compressed blocks, written to the shared folder."""
+def text_blocks(docs: DataFrame, name: str, carry: bool = False) -> DataFrame:
+    """Documents as compressed blocks, written to the shared folder; ``carry``: with their other
+    columns."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, made = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
@@ -51,10 +63,26 @@ def text_blocks(docs: DataFrame, name: str) -> DataFrame:
             for part in slices(batch):
                 data, offsets = text_buffer(part.column("text"))
                 ids = part.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                yield record_batch(_BLOCK, [made], [ids.astype(np.int64).tobytes()], [offsets.tobytes()], [squeeze.compress(data.tobytes())])
+                rest = squeeze.compress(_to_bytes(part.drop_columns(["text"]))) if carry else None
+                yield record_batch(_BLOCK, [made], [ids.astype(np.int64).tobytes()], [offsets.tobytes()], [squeeze.compress(data.tobytes())], [rest])
                 made += 1
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA), name)
+    return materialize((docs if carry else docs.select("doc_id", "text")).mapInArrow(pack, BLOCK_SCHEMA), name)
+
+
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def carried(row: dict) -> pa.RecordBatch | None:
+    """The other columns of a block's documents."""
+    if row["rest"] is None:
+        return None
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])) as stream:
+        return stream.read_next_batch()
 
 
 def open_block(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -92,27 +120,38 @@ class Runs:
     again: np.ndarray | None = None
 
 
+#: Units whose hashes are made at once: their arrays stay in a core's cache.
+CHUNK = 1 << 15
+
+
 def runs_of(units: Units, window: int, gram: int, again: bool = False) -> Runs:
     empty = np.zeros(0, np.int64)
-    n = len(units.hashes)
+    n, width = len(units.hashes), window - gram + 1
     if n < window:
         return Runs(empty, empty, np.zeros(0, np.uint64), empty, empty.astype(bool))
-    grams = units.hashes.astype(np.uint64)
-    size, factor = 1, np.uint64(0x9E3779B97F4A7C15)
-    while size < gram:  # gram is a power of two
-        grams = mixed(grams[:-size] * factor + grams[size:])
-        size *= 2
-    grams, width = mixed(grams), window - gram + 1
-    anchor = _doubled(grams, width, np.minimum)
-    lengths = np.diff(units.docs)
-    usable = np.maximum(lengths - window + 1, 0)
-    doc = np.repeat(np.arange(len(lengths)), usable)
-    first = np.arange(int(usable.sum())) - np.repeat(np.cumsum(usable) - usable, usable) + np.repeat(units.docs[:-1], usable)
-    if len(first) == 0:
-        return Runs(empty, empty, np.zeros(0, np.uint64), empty, empty.astype(bool))
-    key = anchor[first]
-    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    runs = Runs(first[cut], np.diff(np.r_[cut, len(first)]), key[cut], doc[cut])
+    factor = 0x9E3779B97F4A7C15
+    anchor = np.empty(n - window + 1, np.uint64)
+    grams = np.empty(n - gram + 1, np.uint64) if again else None
+    for at in range(0, len(anchor), CHUNK):
+        part, size, power = units.hashes[at : at + CHUNK + window - 1].astype(np.uint64), 1, factor
+        while size < gram:  # a polynomial hash by doubling; gram is a power of two
+            part = part[:-size] * np.uint64(power) + part[size:]
+            size, power = size * 2, power * power % (1 << 64)
+        part = mixed(part)
+        if again:
+            grams[at : at + len(part)] = part
+        anchor[at : at + CHUNK] = _doubled(part, width, np.minimum)
+    change = np.empty(len(anchor), bool)
+    change[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+    starts, last = units.docs[:-1], units.docs[1:] - window + 1  # windows from ``last`` on leave the document
+    for edges in (starts, last):
+        change[edges[(edges >= 0) & (edges < len(anchor))]] = True
+    cut = np.flatnonzero(change)
+    doc = np.searchsorted(units.docs, cut, side="right") - 1
+    count = np.diff(np.r_[cut, len(anchor)])
+    use = cut < last[doc]
+    runs = Runs(cut[use], count[use], anchor[cut[use]], doc[use])
     if again:
         inside = np.lib.stride_tricks.sliding_window_view(grams, width)
         left = (inside[runs.first] == runs.key[:, None]).argmax(1)
@@ -255,24 +294,26 @@ def repeated_windows(
     docs: DataFrame,
     units_of: Callable[[bytes, np.ndarray], Units],
     compare: Callable[[list[tuple]], list],
-    finish: Callable[[np.ndarray, np.ndarray, Units, np.ndarray], pa.RecordBatch],
-    schema: tuple[str, pa.Schema],
+    finish: Callable[[dict, np.ndarray, np.ndarray, bytes, Units, np.ndarray], pa.RecordBatch],
+    schema: tuple[str | StructType, pa.Schema],
     *,
     window: int,
     gram: int,
     within: bool,
     hot_blocks: int,
     name: str,
+    carry: bool = False,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Find the units covered by repeated windows, block by block, and ``finish`` the blocks.
 
     ``compare`` gets (text, windows, doc_id, place) of distinct runs with all their partners, by
     first place, and returns for each of them the windows that stand earlier, as (from, to) pairs.
-    ``finish`` gets document ids, offsets, units and the flags of the units to remove.
+    ``finish`` gets a block's row, document ids, offsets, bytes, units and the flags of the units to
+    remove.
     """
     buckets = 4 * shuffle_partitions(docs.sparkSession)
-    blocks = text_blocks(docs, f"{name}-blocks")
+    blocks = text_blocks(docs, f"{name}-blocks", carry)
     shared = materialize(shared_anchors(blocks, units_of, window, gram, buckets, within, hot_blocks), f"{name}-anchors")
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -296,36 +337,50 @@ def repeated_windows(
         return pa.Table.from_batches(out, schema=_TEXTS)
 
     def judge(group: pa.Table) -> pa.Table:
-        rows = []  # key, text, windows, doc, place, sender, number
-        for sender, (n, payload) in enumerate(zip(group.column("n").to_pylist(), group.column("payload").to_pylist())):
+        texts: list[bytes] = []
+        parts: list[list[np.ndarray]] = []
+        sizes = group.column("n").to_pylist()
+        for n, payload in zip(sizes, group.column("payload").to_pylist()):
             raw = zstandard.ZstdDecompressor().decompress(payload)
-            low, lengths, count, place = (np.frombuffer(raw, np.uint32, n, 4 * n * i).tolist() for i in range(4))
-            doc, at = np.frombuffer(raw, np.int64, n, 16 * n).tolist(), 24 * n
-            for i in range(n):
-                rows.append((low[i], raw[at : at + lengths[i]], count[i], doc[i], place[i], sender, i))
-                at += lengths[i]
-        rows.sort(key=lambda r: r[0])
-        whole = [np.zeros(n, bool) for n in group.column("n").to_pylist()]
-        spans: list[list[int]] = [[] for _ in whole]
+            parts.append([*(np.frombuffer(raw, np.uint32, n, 4 * n * i) for i in range(4)), np.frombuffer(raw, np.int64, n, 16 * n)])
+            ends = np.cumsum(parts[-1][1].astype(np.int64)) + 24 * n
+            texts += [raw[a:b] for a, b in zip([24 * n, *ends[:-1].tolist()], ends.tolist())]
+        key, _, count, place, doc = (np.concatenate(x) for x in zip(*parts))
+        numbers: dict[bytes, int] = {}
+        number = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
+        order = np.lexsort((place, doc, number))
+        firsts = order[np.r_[True, number[order][1:] != number[order][:-1]]]  # of each text, by its number
+        whole = (doc > doc[firsts][number]) | ((doc == doc[firsts][number]) & (place > place[firsts][number]))
+        # texts by key; those that are alone with their key hold no window of another
+        by_key = firsts[np.argsort(key[firsts], kind="stable")]
+        begins = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]])
+        partners = np.diff(np.r_[begins, len(by_key)])
+        if not within:
+            by_key = by_key[np.repeat(partners > 1, partners)]
+            begins = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]]) if len(by_key) else begins[:0]
+        length = np.cumsum(np.array([len(texts[i]) for i in by_key.tolist()], np.int64))
+        dup: dict[int, np.ndarray] = {}
         start = 0
-        while start < len(rows):
-            stop, size = start, 0
-            while stop < len(rows) and (size < batch_bytes or rows[stop][0] == rows[stop - 1][0]):
-                size += len(rows[stop][1])
-                stop += 1
-            firsts: dict[bytes, tuple] = {}
-            for r in rows[start:stop]:
-                old = firsts.get(r[1])
-                if old is None or (r[3], r[4]) < old[2:]:
-                    firsts[r[1]] = (r[1], r[2], r[3], r[4])
-            ordered = sorted(firsts.values(), key=lambda r: (r[2], r[3]))
-            dup = dict(zip((r[0] for r in ordered), compare(ordered)))
-            for _, text, _, doc, place, sender, i in rows[start:stop]:
-                if (doc, place) > firsts[text][2:]:
-                    whole[sender][i] = True
-                elif len(dup[text]):
-                    spans[sender] += [i, len(dup[text]) // 2, *dup[text]]
+        while start < len(by_key):
+            most = (length[start - 1] if start else 0) + batch_bytes
+            stop = int(np.searchsorted(begins, np.searchsorted(length, most) + 1))
+            stop = int(begins[stop]) if stop < len(begins) else len(by_key)
+            which = by_key[start:stop]
+            which = which[np.lexsort((place[which], doc[which]))]
+            columns = (count[which].tolist(), doc[which].tolist(), place[which].tolist())
+            for i, found in zip(which.tolist(), compare(list(zip([texts[i] for i in which.tolist()], *columns)))):
+                if len(found):
+                    dup[int(number[i])] = np.asarray(found, np.int32)
             start = stop
+        offsets = np.r_[0, np.cumsum(sizes)]
+        has = np.zeros(len(numbers), bool)
+        has[list(dup)] = True
+        spans: list[list[int]] = [[] for _ in sizes]
+        for i in np.flatnonzero(has[number] & ~whole).tolist():
+            sender = int(np.searchsorted(offsets, i, side="right")) - 1
+            found = dup[int(number[i])]
+            spans[sender] += [i - int(offsets[sender]), len(found) // 2, *found.tolist()]
+        whole = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         keep = [i for i in range(len(whole)) if whole[i].any() or spans[i]]
         none = [None] * len(keep)
         blocks_, buckets_ = group.column("block_id").to_pylist(), group.column("bucket").to_pylist()
@@ -369,7 +424,7 @@ def repeated_windows(
                     hi.append(pairs[:, 1])
                 np.add.at(edge, np.concatenate(lo), 1)
                 np.add.at(edge, np.concatenate(hi) + window - 1, -1)
-            out.append(finish(ids, offsets, units, np.cumsum(edge)[:-1] > 0))
+            out.append(finish(row, ids, offsets, data, units, np.cumsum(edge)[:-1] > 0))
         return pa.Table.from_batches(out, schema=schema[1])
 
     texts = blocks.groupBy("block_id").cogroup(shared.groupBy("block_id")).applyInArrow(deal, "bucket int, block_id long, n int, payload binary")

@@ -19,13 +19,16 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .anchors import NO_ID, Units, mixed, repeated_windows
+from .anchors import NO_ID, Units, carried, mixed, repeated_windows
 from .common import record_batch
 
 WINDOW = 20
 GRAM = 4
 HOT_BLOCKS = 1024
+#: Carries whether a text was null.
+NULL_TEXT = "__text_is_null"
 
 
 def word_units(data: bytes, offsets: np.ndarray) -> Units:
@@ -76,21 +79,51 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
+def remaining(units: Units, gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of words removed, and the remaining ones joined by a space, of each document."""
+    total = np.r_[0, np.cumsum(gone)]
+    removed = (total[units.docs[1:]] - total[units.docs[:-1]]).astype(np.int64)
+    kept = []
+    for a, b, n in zip(units.docs[:-1].tolist(), units.docs[1:].tolist(), removed.tolist()):
+        whole = units.data[units.starts[a] : units.ends[b - 1]] if b > a else b""
+        kept.append(b" ".join(compress(whole.split(b" "), (~gone[a:b]).tolist())) if n else whole)
+    return removed, kept
+
+
+def without_repeats(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+    """The documents, all columns, without their repeated words: a text that loses any becomes its
+    remaining words joined by one space, any other (null, too) stays as it is."""
+    names = docs.columns
+    rest = [c for c in names if c != "text"]
+    schema = to_arrow_schema(docs.select(*rest, "text").schema)
+
+    def finish(row: dict, ids: np.ndarray, offsets: np.ndarray, data: bytes, units: Units, gone: np.ndarray) -> pa.RecordBatch:
+        removed, kept = remaining(units, gone)
+        other = carried(row)
+        texts = [(k if n else data[a:b]).decode() for n, k, a, b in zip(removed.tolist(), kept, offsets[:-1].tolist(), offsets[1:].tolist())]
+        missing = other.column(NULL_TEXT).to_numpy(zero_copy_only=False).astype(bool)
+        columns = [other.column(c).cast(schema.field(c).type) for c in rest]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, schema.field("text").type, mask=missing)], schema=schema)
+
+    marked = docs.withColumn(NULL_TEXT, docs.text.isNull())
+    gram = GRAM if window >= 2 * GRAM else 1
+    result = repeated_windows(
+        marked, word_units, lambda rows: factor(rows, window), finish, (docs.select(*rest, "text").schema, schema), window=window, gram=gram, within=True,
+        hot_blocks=hot_blocks, name="words", carry=True,
+    )
+    return result.select(*names)
+
+
 def dedup_words(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int = HOT_BLOCKS, keep_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier.
     Returns doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept (the remaining
     words, joined by one space)."""
     gram = GRAM if window >= 2 * GRAM else 1
 
-    def finish(ids: np.ndarray, offsets: np.ndarray, units: Units, gone: np.ndarray) -> pa.RecordBatch:
-        total = np.r_[0, np.cumsum(gone)]
-        removed = total[units.docs[1:]] - total[units.docs[:-1]]
-        kept = []
-        for a, b, n in zip(units.docs[:-1].tolist(), units.docs[1:].tolist(), removed.tolist()):
-            whole = units.data[units.starts[a] : units.ends[b - 1]] if b > a else b""
-            kept.append(b" ".join(compress(whole.split(b" "), (~gone[a:b]).tolist())) if n else whole)
+    def finish(_, ids: np.ndarray, offsets: np.ndarray, data: bytes, units: Units, gone: np.ndarray) -> pa.RecordBatch:
+        removed, kept = remaining(units, gone)
         return record_batch(
-            _OUT, pa.array(ids, mask=ids == NO_ID), np.diff(units.docs), removed.astype(np.int64), [hashlib.sha256(k).hexdigest() for k in kept],
+            _OUT, pa.array(ids, mask=ids == NO_ID), np.diff(units.docs), removed, [hashlib.sha256(k).hexdigest() for k in kept],
             [k.decode() for k in kept] if keep_text else [None] * len(kept),
         )
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import NO_ID, Units, repeated_windows
+from .anchors import NO_ID, Shifted, Units, repeated_windows
 from .common import record_batch
 
 WINDOW = 50
@@ -27,9 +27,7 @@ HOT_BLOCKS = 1024
 
 
 def byte_units(data: bytes, offsets: np.ndarray) -> Units:
-    raw = np.frombuffer(data, np.uint8)
-    at = np.arange(len(raw))
-    return Units(data, raw.astype(np.uint64) + np.uint64(1), at, at + 1, offsets)
+    return Units(data, np.frombuffer(data, np.uint8), Shifted(0), Shifted(1), offsets)
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -121,8 +119,8 @@ def dedup_bytes(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int = HOT_
     ``keep_text``, kept (the remaining bytes)."""
     gram = GRAM if window >= 2 * GRAM else 4
 
-    def finish(ids: np.ndarray, offsets: np.ndarray, units: Units, gone: np.ndarray) -> pa.RecordBatch:
-        raw = np.frombuffer(units.data, np.uint8)
+    def finish(_, ids: np.ndarray, offsets: np.ndarray, data: bytes, units: Units, gone: np.ndarray) -> pa.RecordBatch:
+        raw = np.frombuffer(data, np.uint8)
         kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         lengths = np.diff(offsets)
         head = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
