@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .anchors import mixed
 from .common import materialize, record_batch, slices, text_buffer
@@ -131,12 +132,11 @@ def scores(part: pa.RecordBatch, raw: Model, target: Model) -> np.ndarray:
     return np.where(grams > 0, total + twice @ (target.words - raw.words), 0.0) / (grams + SHRINK)
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("unseen", pa.float64())])
-
-
 def score_documents(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, text, fold): doc_id, score and, for good documents, their score by the
-    other fold's model (unseen)."""
+    """``docs`` (doc_id, text, fold, and maybe row): doc_id, score and, for good documents, their
+    score by the other fold's model (unseen); with row, also that."""
+    carry = "row" in docs.columns
+    schema = StructType(StructType.fromDDL("doc_id long, score double, unseen double").fields + ([docs.schema["row"]] if carry else []))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Model(c) for c in (*counts, counts[1] + counts[2])] if counts[1:].any() else None
@@ -150,9 +150,10 @@ def score_documents(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         which = np.flatnonzero(fold == k)
                         if len(which):
                             unseen[which] = scores(part.take(pa.array(which)), models[0], models[3 - k])
-                yield record_batch(_SCORES, part.column("doc_id"), score, pa.array(unseen, mask=np.isnan(unseen)))
+                columns = [part.column("doc_id"), pa.array(score), pa.array(unseen, mask=np.isnan(unseen)), *([part.column("row")] if carry else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(work, "doc_id long, score double, unseen double")
+    return docs.mapInArrow(work, schema)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> int:
@@ -169,11 +170,12 @@ def kth_largest(values: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, keep."""
+def resample(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """doc_id, log_weight, gumbel_key, keep; with ``carry`` also row, all columns of the document."""
     least = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     good = F.broadcast(least.select("doc_id", (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))).cast("int").alias("fold")))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *whole).join(good, "doc_id", "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
     counts = np.zeros((3, BUCKETS), np.int64)
     for batch in count_grams(marked.select("text", "fold")).toArrow().to_batches():  # a row for each bucket
         bucket, *columns = (c.to_numpy() for c in batch.columns)
@@ -185,4 +187,9 @@ def resample(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DO
     cut = scored.agg(F.percentile("unseen", F.lit(LOSS))).first()[0]
     k = scored.where(F.col("score") >= F.lit(cut)).count() if cut is not None else 0
     limit = kth_largest(scored, "step", k) if k else 0
-    return scored.select("doc_id", "log_weight", "gumbel_key", (F.col("step") >= limit).alias("keep"))
+    return scored.select("doc_id", "log_weight", "gumbel_key", (F.col("step") >= limit).alias("keep"), *(["row"] if carry else []))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, all columns."""
+    return resample(docs, labels, carry=True).where("keep").select("row.*")

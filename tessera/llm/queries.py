@@ -43,7 +43,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), keep_text=False)
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import materialize, record_batch, slices
 
@@ -160,12 +161,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 _FOUND = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("starts", pa.list_(pa.int64())),
-        ("kinds", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64())), ("tried", pa.list_(pa.list_(pa.int64()))), ("text", pa.string()),
+        ("kinds", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64())), ("tried", pa.list_(pa.list_(pa.int64()))),
     ]
 )
-FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, starts array<long>, kinds array<int>, ends array<long>, tried array<array<long>>, text string"
-_DONE = pa.schema([*list(_FOUND)[:5], ("spans", pa.string()), ("n_random", pa.int64()), ("redacted", pa.string())])
-DONE = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, redacted string"
+FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, starts array<long>, kinds array<int>, ends array<long>, tried array<array<long>>"
+DONE = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -182,41 +182,50 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, *, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random and, with ``keep_text``,
-    redacted (the text with its spans named, null for a null text)."""
+def scan(docs: DataFrame, *, carry: bool = False) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random; with ``carry`` also row,
+    all columns of the document, and redacted, its text with the spans named (null: null)."""
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *whole)
+    more = [rows.schema["text"], rows.schema["row"]] if carry else []
+    found_schema = StructType(StructType.fromDDL(FOUND).fields + more)
+    done_schema = StructType(StructType.fromDDL(DONE).fields + ([StructField("redacted", StringType()), rows.schema["row"]] if carry else []))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
+                out = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     long = long_words(text or "")
                     base = base_spans(text or "", long)
                     kinds = [k for _, k, _ in base]
-                    rows.append(
-                        [
-                            doc, *(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), [a for a, _, _ in base], kinds, [b for _, _, b in base],
-                            candidates(text, base) if any(DIGIT.search(w) for w in long) else [], text if keep_text else None,
-                        ]
-                    )
-                yield record_batch(_FOUND, *map(list, zip(*rows)))
-
-    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, FOUND), "spans")
+                    tried = candidates(text, base) if any(DIGIT.search(w) for w in long) else []
+                    digest = hashlib.sha256(joined(base).encode()).hexdigest()
+                    out.append([doc, *(kinds.count(k) for k in range(3)), digest, [a for a, _, _ in base], kinds, [b for _, _, b in base], tried])
+                columns = record_batch(_FOUND, *map(list, zip(*out))).columns
+                yield pa.RecordBatch.from_arrays([*columns, *([part.column("text"), part.column("row")] if carry else [])], names=found_schema.names)
+
+    found = materialize(rows.mapInArrow(find, found_schema), "spans")
     tried = found.select(F.explode("tried").alias("t")).groupBy(F.col("t")[2].alias("k"), F.col("t")[3].alias("step")).count()
     limits = cutoffs({(r.k, r.step): r["count"] for r in tried.collect()})  # 4 x 601 rows at most
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [batch.column(i) for i in range(5)]
             spans, n_random, redacted = [], [], []
-            for a, k, b, t, text in zip(*(batch.column(c).to_pylist() for c in ("starts", "kinds", "ends", "tried", "text"))):
-                more = [(x[0], 3, x[1]) for x in t if x[3] < limits[x[2]]]
-                all_spans = [*zip(a, k, b), *more]
+            texts = batch.column("text").to_pylist() if carry else [None] * batch.num_rows
+            for a, k, b, t, text in zip(*(batch.column(c).to_pylist() for c in ("starts", "kinds", "ends", "tried")), texts):
+                drawn = [(x[0], 3, x[1]) for x in t if x[3] < limits[x[2]]]
+                all_spans = [*zip(a, k, b), *drawn]
                 spans.append(joined(all_spans))
-                n_random.append(len(more))
-                redacted.append(None if text is None else redact(text, all_spans))
-            yield record_batch(_DONE, *first, spans, n_random, redacted)
+                n_random.append(len(drawn))
+                redacted.append(None if text is None else redact(text, all_spans) if all_spans else text)
+            columns = [*batch.columns[:5], pa.array(spans, pa.string()), pa.array(n_random, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(redacted, pa.string()), batch.column("row")] if carry else [])], names=done_schema.names)
+
+    return found.mapInArrow(decide, done_schema)
+
 
-    out = found.mapInArrow(decide, DONE)
-    return out if keep_text else out.drop("redacted")
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with the secrets in their texts named in brackets."""
+    found = scan(docs, carry=True)
+    return found.select(*(F.col("redacted").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize, record_batch, shuffle_partitions, slices
 from .components import components
@@ -60,19 +61,20 @@ def _hashes(raw: bytes, shingle: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends)]
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long); with ``carry`` also row, all columns."""
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *whole)
+    schema = StructType(StructType.fromDDL("doc_id long, fp long").fields + ([rows.schema["row"]] if carry else []))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = np.array([fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()], np.uint64)
-                yield record_batch(_FP, part.column("doc_id"), found.astype(np.int64))
+                columns = [part.column("doc_id"), pa.array(found.astype(np.int64)), *([part.column("row")] if carry else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(work, schema)
 
 
 def _turned(x: np.ndarray, start: int) -> np.ndarray:
@@ -170,12 +172,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+def labelled(own: DataFrame) -> DataFrame:
+    """``own`` (doc_id, fp): fp, component_id of each fingerprint."""
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes))
     known = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = known.join(least, "root").select("fp", "component_id")
-    return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return known.join(least, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    return own.join(labelled(own), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The documents, all columns, that are the first of their component."""
+    own = materialize(fingerprints(docs, shingle, seed, carry=True), "fingerprints")
+    labels = labelled(own.select("doc_id", "fp")).withColumnsRenamed({"fp": "f", "component_id": "c"})
+    return own.join(labels, (own.fp == labels.f) & own.doc_id.eqNullSafe(labels.c), "left_semi").select("row.*")

@@ -29,7 +29,7 @@ def test_spans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = ODD + [r.text for r in docs.collect()]
     frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
-    got = {r.doc_id: r for r in secrets.scan(frame).collect()}
+    got = {r.doc_id: r for r in secrets.scan(frame, carry=True).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         base = plain(t)
@@ -64,7 +64,7 @@ def test_random_strings_are_found(spark):
     rng = random.Random(5)
     keys = [base64.b64encode(rng.randbytes(33)).decode() for _ in range(40)]
     rows = [(i, f"words before {k} and after") for i, k in enumerate(keys)]
-    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), carry=True).collect()
     assert sum(r.n_random for r in got) >= 36
     assert all("[random]" in r.redacted for r in got if r.n_random)
 
