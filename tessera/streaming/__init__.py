@@ -1,0 +1 @@
+"""No operator of the engine is a streaming one; the package is kept for them."""
