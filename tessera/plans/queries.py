@@ -527,7 +527,7 @@ def _pixels(spark, sf_dir):
 PIXELS = """px AS (SELECT CAST(0 AS BIGINT) section_id, l_partkey % 8 tile_id, l_orderkey % 64 x, l_orderkey * 7 % 48 y, CAST(max(trunc(l_quantity)) AS INTEGER) AS value FROM lineitem GROUP BY ALL)"""
 
 
-@query(f"""WITH {PIXELS} SELECT a.section_id, a.tile_id a, b.tile_id b, count(*) n, round(corr(CAST(a.value AS DOUBLE), CAST(b.value AS DOUBLE)), 6) ncc FROM px a JOIN px b ON a.section_id = b.section_id AND a.x = b.x AND a.y = b.y AND b.tile_id < a.tile_id
+@query(f"""WITH {PIXELS} SELECT a.section_id, a.tile_id a, b.tile_id b, count(*) n, round(CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN corr(CAST(a.value AS DOUBLE), CAST(b.value AS DOUBLE)) END, 6) ncc FROM px a JOIN px b ON a.section_id = b.section_id AND a.x = b.x AND a.y = b.y AND b.tile_id < a.tile_id
 WHERE a.value <> 0 AND b.value <> 0 GROUP BY ALL""")
 def pixel_correlation(spark, sf_dir):
     """M9, M10."""
