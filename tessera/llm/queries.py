@@ -74,15 +74,15 @@ QUERIES = {
 #: The given tables have no null doc_id and no doc_id twice.
 SQL: dict[str, str] = {
     "op1_suffix_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
-bytes AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) p FROM d),
-win AS (SELECT doc_id, p, CASE WHEN 2 * p + 100 <= length(h) THEN substr(h, 2 * p + 1, 100) END k, substr(h, 2 * p + 1, 2) x FROM bytes),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) h FROM documents),
+bytes AS (SELECT doc_id, h, unnest(range(1, octet_length(h) + 1)) p FROM d),
+win AS (SELECT doc_id, p, CASE WHEN p + 49 <= octet_length(h) THEN h[p:p + 49] END k, hex(h[p:p]) x FROM bytes),
 own AS (SELECT k, min(doc_id) owner FROM win WHERE k IS NOT NULL GROUP BY k),
 dup AS (SELECT w.doc_id, p, x, owner < w.doc_id dup FROM win w LEFT JOIN own o ON w.k = o.k),
 gone AS (SELECT doc_id, p, x, coalesce(max(CASE WHEN dup THEN p END) OVER (PARTITION BY doc_id ORDER BY p), -50) > p - 50 gone FROM dup),
 runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) head FROM gone),
 agg AS (SELECT doc_id, count_if(gone) n_removed, count_if(head) n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') kept FROM runs GROUP BY doc_id)
-SELECT d.doc_id, length(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256
+SELECT d.doc_id, octet_length(h) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256
 FROM d LEFT JOIN agg a ON a.doc_id = d.doc_id""",
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
