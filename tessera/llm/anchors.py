@@ -120,6 +120,8 @@ class Runs:
     again: np.ndarray | None = None
 
 
+#: Windows of a run; a longer one (of periodic text) is cut.
+LONGEST_RUN = 64
 #: Units whose hashes are made at once: their arrays stay in a core's cache.
 CHUNK = 1 << 15
 
@@ -157,6 +159,12 @@ def runs_of(units: Units, window: int, gram: int, again: bool = False) -> Runs:
         left = (inside[runs.first] == runs.key[:, None]).argmax(1)
         right = width - 1 - (inside[runs.first + runs.count - 1][:, ::-1] == runs.key[:, None]).argmax(1)
         runs.again = left != right + runs.count - 1
+    if len(runs.count) and runs.count.max() > LONGEST_RUN:
+        pieces = -(-runs.count // LONGEST_RUN)
+        step = LONGEST_RUN * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        cut = np.minimum(np.repeat(runs.count, pieces) - step, LONGEST_RUN)
+        again = None if runs.again is None else np.repeat(runs.again, pieces)
+        runs = Runs(np.repeat(runs.first, pieces) + step, cut, np.repeat(runs.key, pieces), np.repeat(runs.doc, pieces), again)
     return runs
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,8 +25,11 @@ from .common import record_batch, slices
 #: Fixed value: the pattern of the public vocabulary that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps, in each of two generations.
-KEEP_WORDS = 250_000
+KEEP_WORDS = 400_000
 WORDS_A_QUERY = 20_000
+#: Bytes from which on a word (runs of one character, and the like) is merged by a heap: a round of
+#: the query contracts one pair, and so many rounds over so many rows are too slow.
+LONG_WORD = 256
 
 MERGE = """
 WITH RECURSIVE steps(word, pos, tok, live) AS (
@@ -83,6 +87,32 @@ class Encoder:
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
 
+    def long_merged(self, word: bytes) -> tuple[str, bytes]:
+        """The same contraction, leftmost pair of least rank first, with a heap of pairs."""
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+
+        def rank(i: int) -> int | None:
+            return self.ranks.get(parts[i] + parts[after[i]]) if after[i] < len(parts) else None
+
+        heap = [(r, i, len(parts[i]) + len(parts[i + 1])) for i in range(len(parts) - 1) if (r := rank(i)) is not None]
+        heapify(heap)
+        while heap:
+            r, i, size = heappop(heap)
+            if parts[i] is None or rank(i) != r or len(parts[i]) + len(parts[after[i]]) != size:
+                continue
+            gone = after[i]
+            parts[i] += parts[gone]
+            parts[gone] = None
+            after[i] = after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (new := rank(j)) is not None:
+                    heappush(heap, (new, j, len(parts[j]) + len(parts[after[j]])))
+        kept = [p for p in parts if p is not None]
+        return ",".join(str(self.ranks[p]) for p in kept), b"".join(kept)
+
     def merged(self, words: list[bytes]) -> list[tuple[str, bytes]]:
         """Ids and decoded bytes of words."""
         out: list[tuple[str, bytes]] = []
@@ -117,6 +147,8 @@ class Encoder:
                 self.young[w] = known
             elif (rank := self.ranks.get(raw := w.encode())) is not None:  # a token by itself
                 self.young[w] = (str(rank), raw)
+            elif len(raw) >= LONG_WORD:
+                self.young[w] = self.long_merged(raw)
             else:
                 rest.append(w)
         if rest:

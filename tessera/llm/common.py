@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Paths of the tables that ``materialize`` writes while ``recorded`` is active.
+_records: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage and
     survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    for record in _records:
+        record.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def recorded(record: list[str]) -> Iterator[None]:
+    """Note the tables that are written meanwhile, for ``release``."""
+    _records.append(record)
+    try:
+        yield
+    finally:
+        _records.remove(record)
+
+
+def release(record: list[str], docs: DataFrame) -> None:
+    """Delete the noted tables that ``docs`` doesn't read."""
+    if record:
+        read = docs.inputFiles()
+        kept = [path for path in record if any(path.rsplit("/", 1)[-1] in file for file in read)]
+        for path in record:
+            if path not in kept:
+                _delete(docs.sparkSession, path)
+        record[:] = kept
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -28,6 +28,8 @@ LONGEST = 48
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 20_000
 SAMPLE_WORDS = 16_000
+#: So many times the sample is drawn by hash before it is ordered.
+SPARE = 4
 EPOCHS = 4
 BATCH = 256
 #: Words whose probabilities a worker keeps.
@@ -203,11 +205,13 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, *, docs_a_language: int = SAMPLE_DOCS, words_a_language: int = SAMPLE_WORDS) -> tuple[Network | None, list[str]]:
     """Network and languages from the labelled documents that aren't held out."""
+    use = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") < SAMPLE_CHARS)).select("doc_id", "lang", "text")
+    counts = use.groupBy("lang").count()  # a row for each language
+    share = counts.select(F.col("lang").alias("l"), (F.lit(SPARE * docs_a_language) / F.col("count")).alias("share"))
+    few = use.join(F.broadcast(share), use.lang == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") < SAMPLE_CHARS))
-        .select("doc_id", "lang", "text")
-        .withColumn("place", F.row_number().over(least))
+        few.withColumn("place", F.row_number().over(least))
         .where(F.col("place") <= docs_a_language)
         .select("lang", "text")
         .collect()

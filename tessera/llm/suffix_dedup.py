@@ -31,7 +31,7 @@ def byte_units(data: bytes, offsets: np.ndarray) -> Units:
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of an array of positive integers (under 2**20 of them).
+    """Suffix array of an array of positive integers, numbers and length under 2**31.
 
     ``depth``: order by so many leading symbols is enough; deeper ties are left as they come.
     """
@@ -40,9 +40,12 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: tuple(text[i:].tolist())), np.int64)
     s = np.concatenate([text.astype(np.int64), np.zeros(4, np.int64)])
     k = int(s.max()) + 1
+    pair = s * k + np.r_[s[1:], 0]
+    if k * k * max(k, n + 3) >= 1 << 62:  # names in place of pairs, to stay within 64 bits
+        pair = np.unique(pair, return_inverse=True)[1]
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    triples = (s[sample] * k + s[sample + 1]) * k + s[sample + 2]
+    triples = pair[sample] * k + s[sample + 2]
     order = np.argsort(triples, kind="stable")
     ranked = triples[order]
     names = np.empty(len(sample), np.int64)
@@ -58,7 +61,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     rest = rest[np.argsort(s[rest] * r + rank[rest + 1], kind="stable")]
     first, second = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     before = np.searchsorted(s[first] * r + rank[first + 1], s[rest] * r + rank[rest + 1])
-    before += np.searchsorted((s[second] * k + s[second + 1]) * r + rank[second + 2], (s[rest] * k + s[rest + 1]) * r + rank[rest + 2])
+    before += np.searchsorted(pair[second] * r + rank[second + 2], pair[rest] * r + rank[rest + 2])
     out = np.empty(n, np.int64)
     slot = np.maximum.accumulate(before) + np.arange(len(rest))  # ties beyond the depth may cross
     free = np.ones(n, bool)

@@ -31,6 +31,15 @@ def test_matches_library(spark, sf_dir):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_words_merge_alike():
+    encoder = bpe.Encoder(VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    for word in ("a" * 50_000, "ab" * 300 + "abc" * 200, "=" * 2001, "überlänge" * 400, "\n" * 999):
+        assert encoder.long_merged(word.encode()) == (",".join(map(str, library.encode_ordinary(word))), word.encode())
+    some = [b"contraction", b"mississippi", "über".encode(), b"aaaaaaaaaaaaa"]
+    assert [encoder.long_merged(w) for w in some] == encoder.merged(some)
+
+
 def test_generations_keep_results(spark, monkeypatch):
     encoder = bpe.Encoder(VOCABULARY)
     monkeypatch.setattr(bpe, "KEEP_WORDS", 3)

@@ -74,6 +74,13 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(t).tolist() == want
 
 
+def test_suffix_array_of_large_numbers():
+    rng = np.random.default_rng(1)
+    t = rng.integers(1, 40, 3000) * 2**17
+    want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert suffix_dedup.suffix_array(t).tolist() == want
+
+
 @pytest.mark.parametrize("hot", [1024, 2])
 def test_bytes_match_brute_force(spark, hot):
     rows = corpus()
