@@ -5,8 +5,10 @@ on a bounded sample.  A code splits into parts; if two codes differ in at most R
 of m differs in at most R // m (pigeonhole).  Every vector is indexed under each part's value, and
 a query probes in each part all values within R // m; what it meets within R bits is ranked by the
 exact distance.  R is the radius that covers the sample's own true neighbours.  Index values with
-the same leading bits share a task, where buckets are slices of one sorted array; a task returns
-a query's nearest k.  Queries with fewer than k found probe again at full radius.
+the same leading bits share a shard, where buckets are slices of one sorted array.  A shard is
+dealt out in blocks of bounded numbers of index rows and of queries, and each pair of blocks is a
+task, which returns a query's nearest k.  Queries with fewer than k found probe again at full
+radius.
 
 Of equal vectors only the k + 1 of least id are indexed (no query needs more), and queries with
 equal vectors are asked once.
@@ -29,6 +31,8 @@ NEAREST = 10
 PART, LONGEST = 8, 64
 #: Leading bits of a part's value that choose the task.
 SHARD_BITS = 3
+#: Index rows and queries of a task's blocks, about.
+INDEX_BLOCK, QUERY_BLOCK = 100_000, 20_000
 #: Vectors that fit rotation and radius: those of least hash; of them, queries that fit the radius.
 SAMPLE, ASKED = 8_000, 200
 COVER = 0.98
@@ -119,7 +123,7 @@ def _spread(rows: DataFrame, codes: Codes, radius: int | None) -> DataFrame:
     return rows.select("vec_id", "v").mapInArrow(work, _SHARD)
 
 
-def _search(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, nearest: int) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, nearest: int, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query, vec_id, score: the nearest of each query's bucket members within the radius."""
     reach = min(radius // codes.parts, PART)
 
@@ -155,9 +159,13 @@ def _search(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, nea
             out[2].append(d[best])
         return pa.Table.from_batches([record_batch(_FOUND, *(np.concatenate(x) if x else [] for x in out))], schema=_FOUND)
 
-    found = (
-        _spread(index, codes, None).groupBy("shard").cogroup(_spread(queries, codes, reach).groupBy("shard")).applyInArrow(probe, FOUND)
-    )
+    # an index row stands in one shard of 2 ** SHARD_BITS in each part, a query in up to all of them
+    held, asking = -(-(index.count() >> SHARD_BITS) // index_block) or 1, -(-queries.count() // query_block) or 1
+    own, every = (lambda n: F.pmod(F.xxhash64("vec_id", "code"), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = _spread(index, codes, None).withColumn("held", own(held)).withColumn("asking", every(asking))
+    right = _spread(queries, codes, reach).withColumn("held", every(held)).withColumn("asking", own(asking))
+    cell = ["shard", "held", "asking"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(probe, FOUND)
     best = Window.partitionBy("query").orderBy("score", "vec_id")
     return found.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= nearest).drop("place")
 

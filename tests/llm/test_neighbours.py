@@ -60,3 +60,16 @@ def test_few_vectors(spark):
     assert result(frame) == brute([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (7, [3.0, 0.0])])
     assert result(frame.limit(1)) == {}
     assert neighbours.nearest_neighbours(frame.limit(0)).collect() == []
+
+
+def test_blocks_change_nothing(spark):
+    from tessera.llm.neighbours import Codes, _search
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    codes = Codes(x)
+    queries = rows.where("vec_id % 10 = 0")
+    whole = {tuple(r) for r in _search(rows, queries, codes, codes.radius, 5).collect()}
+    dealt = {tuple(r) for r in _search(rows, queries, codes, codes.radius, 5, index_block=9, query_block=7).collect()}
+    assert whole == dealt and len(whole) > 100
