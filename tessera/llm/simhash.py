@@ -185,10 +185,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     return own.join(labelled(own), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents, all columns, that are the first of their component."""
-    own = materialize(fingerprints(docs, shingle, seed, carry=True), "fingerprints")
-    labels = labelled(own.select("doc_id", "fp")).withColumnsRenamed({"fp": "f", "component_id": "c"})
-    return own.join(labels, (own.fp == labels.f) & own.doc_id.eqNullSafe(labels.c), "left_semi").select("row.*")
