@@ -134,6 +134,19 @@ def test_relaxation_settles_at_the_solution(spark):
     assert np.allclose([got[i] for i in range(n)], x + off, atol=1e-9)
 
 
+def test_large_sections_settle_like_small_ones(spark):
+    """A path of 30 tiles that starts far from its ideal, a second component, a tile without edges, another section."""
+    draw = np.random.default_rng(8)
+    rows = [(0, i, i + 1, float(100 + draw.normal()), float(draw.normal())) for i in range(29)] + [(0, 5, 12, 640.0, 3.0), (0, 40, 41, 90.0, 1.0), (1, 0, 1, 50.0, 0.0), (1, 1, 2, 51.0, 2.0), (1, 0, 2, 99.0, 1.0)]
+    edges = spark.createDataFrame(rows, "section_id long, a long, b long, ideal_dx double, ideal_dy double")
+    places = [(0, i) for i in [*range(30), 40, 41, 50]] + [(1, i) for i in range(3)]
+    tiles = spark.createDataFrame([(s, i, *map(float, draw.normal(0, 1000, 2))) for s, i in places], "section_id long, tile_id long, x double, y double")
+    both = graph.symmetric(edges, ["section_id"])
+    small, large = ({(r.section_id, r.tile_id): (r.x, r.y) for r in graph.solve_positions(both, tiles, ["section_id"], most_tiles=n).collect()} for n in (100, 1))
+    assert small.keys() == large.keys() and len(small) == len(places)
+    assert np.allclose([small[p] for p in places], [large[p] for p in places], atol=1e-6)
+
+
 def test_colours_differ_along_edges(spark, sf_dir):
     edges = lenses.edges(spark, sf_dir)
     colour = {(r.section_id, r.tile_id): r.colour for r in graph.greedy_colours(edges, ["section_id"]).collect()}
