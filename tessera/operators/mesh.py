@@ -82,13 +82,14 @@ def flips(triangles: DataFrame, mesh: DataFrame, keys: Sequence[str]) -> DataFra
     return corner.groupBy(*keys).agg(F.count("*").alias("triangles"), F.count_if(g.flipped(*sides)).alias("flipped"))
 
 
-def elastic_descent(
+def elastic_settling(
     x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], *, spring: float = 1.0, area: float = 1.0, cross: float = 1.0,
     sigma: float = 10.0, most: int = 10_000, step: float = 1e-3,
-) -> np.ndarray:
+) -> tuple[np.ndarray, bool]:
     """Points of least energy by descent with momentum, steps grown by a hundredth and cut
     by a twentieth with the move taken back.  The energy has springs on the edges, the triangles'
-    relative areas, and Huber losses of the links: triangle, weights, and where the point should be."""
+    relative areas, and Huber losses of the links: triangle, weights, and where the point should be.
+    Returns the points and whether the stopping rule was met within ``most`` steps."""
     rest = np.sqrt(((x0[edges[:, 0]] - x0[edges[:, 1]]) ** 2).sum(1) + 1e-4)
 
     def areas(x):
@@ -123,7 +124,7 @@ def elastic_descent(
                 np.add.at(grad, triangles[tri, i], weights[:, i : i + 1] * slope)
         return total, grad
 
-    x, velocity = x0.copy(), np.zeros_like(x0)
+    x, velocity, done = x0.copy(), np.zeros_like(x0), False
     best, grad = cost(x)
     for _ in range(most):
         velocity = 0.9 * velocity - step * grad * len(x)
@@ -137,11 +138,17 @@ def elastic_descent(
             velocity, step = np.zeros_like(velocity), step * 0.95
             if step < 1e-12:
                 break
-    return x
+    return x, done
+
+
+def elastic_descent(x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], **settings) -> np.ndarray:
+    """The points of ``elastic_settling``."""
+    return elastic_settling(x0, edges, triangles, links, **settings)[0]
 
 
 def elastic_meshes(mesh: DataFrame, triangles: DataFrame, links: DataFrame, keys: Sequence[str], **settings) -> DataFrame:
-    """Deformed mesh of each key.  Links: keys, t, u, v, w, dst_x, dst_y.  A section's mesh
+    """Deformed mesh of each key; ``settled`` says whether its descent met the stopping rule.
+    Links: keys, t, u, v, w, dst_x, dst_y.  A section's mesh
     has some hundred points whatever the number of tiles; it is one task."""
     names = list(keys)
     own = mesh.select(*names, "idx", "x0", "y0")
@@ -156,8 +163,8 @@ def elastic_meshes(mesh: DataFrame, triangles: DataFrame, links: DataFrame, keys
         corners = np.searchsorted(ids, t[["f1", "f2", "f3"]].to_numpy().astype(int))
         pairs = np.unique(np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [0, 2]]]), axis=1), axis=0) if len(corners) else np.zeros((0, 2), int)
         where = np.searchsorted(t.f0.to_numpy(), k.f0.to_numpy())
-        x = elastic_descent(x0, pairs, corners, (where, k[["f1", "f2", "f3"]].to_numpy(), k[["f4", "f5"]].to_numpy()), **settings) if len(pairs) else x0
-        return pd.DataFrame({**{n: rows[n].iloc[0] for n in names}, "idx": ids, "x0": x0[:, 0], "y0": x0[:, 1], "x": x[:, 0], "y": x[:, 1]})
+        x, settled = elastic_settling(x0, pairs, corners, (where, k[["f1", "f2", "f3"]].to_numpy(), k[["f4", "f5"]].to_numpy()), **settings) if len(pairs) else (x0, True)
+        return pd.DataFrame({**{n: rows[n].iloc[0] for n in names}, "idx": ids, "x0": x0[:, 0], "y0": x0[:, 1], "x": x[:, 0], "y": x[:, 1], "settled": settled})
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mesh.select(*names).schema)
-    return tagged.unionByName(tri).unionByName(link).groupBy(*names).applyInPandas(descend, f"{key_types}, idx long, x0 double, y0 double, x double, y double")
+    return tagged.unionByName(tri).unionByName(link).groupBy(*names).applyInPandas(descend, f"{key_types}, idx long, x0 double, y0 double, x double, y double, settled boolean")

@@ -420,7 +420,7 @@ def elastic_mesh(spark, sf_dir):
     rest = points.select("section_id", "idx", "x0", "y0")
     located = me.located(_points(spark, sf_dir), triangles, points, KEYS, 6000)
     links = located.select("section_id", "t", "u", "v", "w", (F.col("x") + 25).alias("dst_x"), (F.col("y") - 10).alias("dst_y"))
-    return me.elastic_meshes(rest, triangles, links, KEYS, most=300)
+    return me.elastic_meshes(rest, triangles, links, KEYS)
 
 
 @query(f"""WITH {ls.TILES}, s AS (SELECT section_id, count(*) n FROM tiles GROUP BY 1) SELECT a.section_id, a.n, b.n previous_n FROM s a LEFT JOIN s b ON b.section_id = a.section_id - 1""")

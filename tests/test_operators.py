@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators import aggregates, graph, learning, matching, mesh, raster, selection, spatial
-from tessera.plans import lenses, pipelines
+from tessera.plans import lenses, pipelines, queries
 from tessera.sources import tilespecs
 
 
@@ -189,6 +189,17 @@ def test_elastic_descent_follows_links():
     assert np.abs(x - x0 - [3.0, -2.0]).max() < 0.05
 
 
+def test_query_meshes_are_those_of_a_long_run(spark, sf_dir, monkeypatch):
+    rows = queries.QUERIES["elastic_mesh"](spark, sf_dir).collect()
+    run = mesh.elastic_meshes
+    monkeypatch.setattr(mesh, "elastic_meshes", lambda *a, **k: run(*a, **k | {"most": 60_000}))
+    long = {(r.section_id, r.idx): (r.x, r.y) for r in queries.QUERIES["elastic_mesh"](spark, sf_dir).collect()}
+    assert len(rows) == len(long) > 0 and all(r.settled for r in rows)
+    assert np.allclose([(r.x, r.y) for r in rows], [long[r.section_id, r.idx] for r in rows], atol=1e-3)
+    monkeypatch.setattr(mesh, "elastic_meshes", lambda *a, **k: run(*a, **k | {"most": 300}))
+    assert not any(r.settled for r in queries.QUERIES["elastic_mesh"](spark, sf_dir).collect())
+
+
 def test_pareto_matches_loops(spark):
     draw = np.random.default_rng(5)
     rows = [(i, int(a), int(c)) for i, (a, c) in enumerate(draw.integers(0, 12, (80, 2)))]
