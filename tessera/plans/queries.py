@@ -506,14 +506,14 @@ def balance_sample(spark, sf_dir):
 def affine_ransac(spark, sf_dir):
     """A6."""
     m = ls.matches(spark, sf_dir).select("pair", F.col("dx").alias("x"), F.col("dy").alias("y"), (F.col("dx") * 2 + F.col("ord") % 3).alias("u"), (F.col("dy") - F.col("dx")).alias("v"))
-    return matching.affine_consensus(m, ["pair"], 2.0, trials=16)
+    return matching.affine_consensus(m, ["pair"], 2.0)
 
 
 @query()
 def rf_accept(spark, sf_dir):
     """M3, M4, M5."""
     rows = ls.scored(spark, sf_dir).select("doc_id", F.array("score", (F.col("n_chars") / 1000).cast("double"), (F.col("doc_id") % 7).cast("double")).alias("features"), F.col("good").cast("int").alias("label"))
-    return learning.predict(learning.train_forest(rows, trees=8, depth=4), rows).select("doc_id", "label", "accepted")
+    return learning.predict(learning.train_forest(rows), rows).select("doc_id", "label", "accepted")
 
 
 def _pixels(spark, sf_dir):

@@ -147,6 +147,19 @@ def test_large_sections_settle_like_small_ones(spark):
     assert np.allclose([small[p] for p in places], [large[p] for p in places], atol=1e-6)
 
 
+def test_affine_consensus_finds_few_inliers(spark):
+    draw = np.random.default_rng(9)
+    rows = []
+    for pair in range(6):  # 30 of 200 points follow the model
+        p = draw.uniform(0, 1000, (200, 4))
+        p[:30, 2], p[:30, 3] = 2 * p[:30, 0] + 0.5 * p[:30, 1] + 7, p[:30, 1] - p[:30, 0]
+        rows += [(pair, *map(float, r)) for r in p]
+    rows += [(10, 0.0, 0.0, 1.0, 2.0), (10, 1.0, 0.0, 2.0, 2.0), (10, 0.0, 1.0, 1.0, 3.0), (11, 0.0, 0.0, 1.0, 2.0)]
+    got = {r.pair: r for r in matching.affine_consensus(spark.createDataFrame(rows, "pair long, x double, y double, u double, v double"), ["pair"], 0.5).collect()}
+    assert sorted(got) == [*range(6), 10] and got[10].inliers == got[10].total == 3
+    assert all(got[i].inliers >= 30 and got[i].total == 200 and np.allclose([got[i].a00, got[i].a01, got[i].tx, got[i].a10, got[i].a11, got[i].ty], [2, 0.5, 7, -1, 1, 0], atol=1e-6) for i in range(6))
+
+
 def test_colours_differ_along_edges(spark, sf_dir):
     edges = lenses.edges(spark, sf_dir)
     colour = {(r.section_id, r.tile_id): r.colour for r in graph.greedy_colours(edges, ["section_id"]).collect()}
