@@ -5,7 +5,8 @@ Each task splits its texts by the public pattern and keeps the ids of the words
 round contracts each word's leftmost pair of least rank, until no pair of it merges; ordered
 aggregation gives the ids and, from the token table, the decoded bytes.
 
-Defined results: a null or empty text has no ids; digests are those of nothing.
+Defined results: a null or empty text has no ids; digests are those of nothing.  Rows that repeat,
+also a doc_id, keep a row each; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,20 +35,20 @@ LONG_WORD = 256
 MERGE = """
 WITH RECURSIVE steps(word, pos, tok, live) AS (
     SELECT word, pos, tok, true FROM start
-    UNION ALL
-    SELECT word, pos, CASE WHEN pos = cut THEN merged ELSE tok END, cut IS NOT NULL
-    FROM (
-        SELECT p.word, p.pos, p.tok, p.previous, m.merged,
-            min(m.merged::BIGINT << 32 | p.pos) OVER (PARTITION BY p.word) & 4294967295 AS cut
-        FROM (
-            SELECT word, pos, tok, lead(tok) OVER w AS following, lag(pos) OVER w AS previous
-            FROM steps WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.following
+    UNION ALL (
+        WITH pairs AS (
+            SELECT word, pos, tok, lead(tok) OVER w AS following, lead(word) OVER w AS owner, lead(pos) OVER w AS next
+            FROM steps WHERE live WINDOW w AS (ORDER BY pos)
+        ), best AS (
+            SELECT word, min(m.merged::BIGINT << 32 | p.pos) AS key, arg_min(p.next, m.merged::BIGINT << 32 | p.pos) AS gone
+            FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.following WHERE p.owner = p.word GROUP BY word
+        )
+        SELECT word, pos, CASE WHEN pos = key & 4294967295 THEN (key >> 32)::INTEGER ELSE tok END, key IS NOT NULL
+        FROM pairs LEFT JOIN best USING (word) WHERE gone IS NULL OR pos <> gone
     )
-    WHERE cut IS NULL OR previous IS DISTINCT FROM cut
 )
-SELECT word, string_agg(tok, ',' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM steps JOIN tokens USING (tok) WHERE NOT live GROUP BY word ORDER BY word
+SELECT word, string_agg(tok, ',') AS ids, string_agg(hex, '') AS decoded
+FROM (SELECT * FROM steps JOIN tokens USING (tok) WHERE NOT live ORDER BY pos) GROUP BY word ORDER BY word
 """
 
 
@@ -133,6 +134,8 @@ class Encoder:
             firsts = stretch[ends - lengths].tolist()
             for a, b in zip(firsts, [*firsts[1:], int(stretch[-1]) + 1]):
                 out.append((",".join(ids[a:b]), bytes.fromhex("".join(decoded[a:b]))))
+            if [decoded for _, decoded in out[at:]] != part:  # aggregated in another order than sorted
+                raise RuntimeError("tokens do not give their words")
         return out
 
     def learn(self, words: set[str]) -> None:
