@@ -7,8 +7,11 @@ start and some one segment of the fourth to seventh leave 24 equal bits: that is
 fingerprints meet.  Pairs that meet have to pass the budgets of all longer chains before their
 distance is counted.
 
-Copies are joined first: only distinct fingerprints meet, and from a group of fingerprints that
-are all linked only a star of links leaves the task.
+Copies are joined first: only distinct fingerprints meet.  In a group of fingerprints under one key,
+one after another becomes a pivot that takes the fingerprints within reach of it; then groups of
+pivots that are near enough to hold a link are compared.  So from a group that is all linked only a
+star of links leaves the task, and near copies aren't squared.  A group beyond a bound is dealt out
+in pairs of blocks, with the same links in the end.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; rows that
 repeat a doc_id keep a row each; extra columns are ignored.
@@ -16,7 +19,7 @@ repeat a doc_id keep a row each; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +37,24 @@ DISTANCE = 4
 SEGMENTS, WIDTH, CHAIN = 16, 4, 7
 #: Fingerprints compared at once.
 BLOCK = 1024
-#: Groups of so many members are compared pair by pair, larger ones leave a star of links.
+#: Groups of so many members are compared in one operation over all groups, larger ones by pivots.
 FEW = 6
+#: Members of a group, or of a block of a larger group, that a task compares.
+MOST = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Fingerprint of one text, as an unsigned number."""
-    hashes = _hashes((text or "").encode(), shingle, seed)
+    return majority(_hashes((text or "").encode(), shingle, seed))
+
+
+def majority(hashes: Sequence[int] | np.ndarray) -> int:
+    """The bits that over half of the hashes have set; zero for none."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         bits += np.unpackbits(np.array(part, ">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big") if hashes else 0
+    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
 
 def _hashes(raw: bytes, shingle: int, seed: int) -> list[int]:
@@ -94,36 +103,69 @@ def ring_keys(fps: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def viable(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether every chain of the differences ``x`` from ``start`` on keeps its budget."""
-    n = (start * WIDTH).astype(np.uint64)
-    ring = np.where(n == 0, x, (x << n) | (x >> ((np.uint64(64) - n) & np.uint64(63))))
-    good = np.ones(len(x), bool)
-    for l in range(1, SEGMENTS + 1):
-        good &= np.bitwise_count(ring >> np.uint64(64 - WIDTH * l)) <= l * DISTANCE // SEGMENTS
-    return good
+def viable(x: np.ndarray, start: np.ndarray | int, distance: int = DISTANCE) -> np.ndarray:
+    """Whether every chain of the differences ``x`` from ``start`` on keeps its budget, a share of
+    ``distance`` in proportion to its length; the whole ring is the Hamming check.
 
-
-def _star(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one key's fingerprints, one fewer than members for each linked group."""
-    label = np.arange(len(fps))
-    while True:
-        new = label.copy()
-        for at in range(0, len(fps), BLOCK):
-            near = np.bitwise_count(fps[at : at + BLOCK, None] ^ fps[None, :]) <= DISTANCE
-            new[at : at + BLOCK] = np.where(near, label[None, :], len(fps)).min(1)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    away = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[label[away]], fps[away]
+    Counts grow along a chain, so of all lengths with one budget the longest is looked at."""
+    n = np.asarray(start, np.uint64) * np.uint64(WIDTH)
+    ring = (x << n) | np.where(n == 0, np.uint64(0), x >> ((np.uint64(64) - n) & np.uint64(63)))
+    budgets = [l * distance // SEGMENTS for l in range(1, SEGMENTS + 1)]
+    good = np.ones(x.shape, bool)
+    for l, budget in enumerate(budgets, 1):
+        if l == SEGMENTS or budgets[l] > budget:
+            good &= np.bitwise_count(ring >> np.uint64(64 - WIDTH * l)) <= budget
+    return good
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def group_links(fps: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between distinct fingerprints of one key, one fewer than members for each group of them
+    that chains from ``start`` connect."""
+    rest = np.arange(len(fps))
+    pivots, members = [], []
+    while len(rest):
+        near = viable(fps[rest] ^ fps[rest[0]], start)
+        pivots.append(rest[0])
+        members.append(rest[near])
+        rest = rest[~near]
+    a = [np.repeat(p, len(m) - 1) for p, m in zip(pivots, members)]
+    b = [m[1:] for m in members]
+    root = list(range(len(pivots)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    centre = fps[pivots]
+    for at in range(0, len(centre), BLOCK):
+        for to in range(at, len(centre), BLOCK):  # members within reach of each other have pivots within three times that
+            near = np.bitwise_count(centre[at : at + BLOCK, None] ^ centre[None, to : to + BLOCK]) <= 3 * DISTANCE
+            for i, j in zip(*np.nonzero(near)):
+                i, j = int(i) + at, int(j) + to
+                if i < j and top(i) != top(j) and (found := _first_link(fps[members[i]], fps[members[j]], start)):
+                    a.append(members[i][[found[0]]])
+                    b.append(members[j][[found[1]]])
+                    root[max(top(i), top(j))] = min(top(i), top(j))
+    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+    return fps[a], fps[b]
+
+
+def _first_link(left: np.ndarray, right: np.ndarray, start: int) -> tuple[int, int] | None:
+    for at in range(0, len(left), BLOCK):
+        for to in range(0, len(right), BLOCK):
+            near = viable(left[at : at + BLOCK, None] ^ right[None, to : to + BLOCK], start)
+            if near.any():
+                i, j = np.unravel_index(int(near.argmax()), near.shape)
+                return at + int(i), to + int(j)
+    return None
+
+
+def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """``distinct`` (fp): links a, b that connect all fingerprints within the distance."""
 
     keyed_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    met_schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +177,9 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield record_batch(keyed_schema, keys.ravel().astype(np.int64), np.tile(part, len(keys)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        """Links (key null), and the members (b null) of groups over ``most``, to be dealt out."""
 
-        def found(key, fp):
+        def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[begins, len(key)])
             group = np.repeat(size, size)
@@ -148,37 +190,71 @@ def links(distinct: DataFrame) -> DataFrame:
                 at = np.flatnonzero(k[step:] == k[:-step]) if step < len(k) else []
                 if not len(at):
                     break
-                x = f[at] ^ f[at + step]
-                at = at[viable(x, k[at] >> 30)]
+                at = at[viable(f[at] ^ f[at + step], k[at] >> 30)]
                 a.append(f[at])
                 b.append(f[at + step])
             for i in np.flatnonzero(size > FEW).tolist():
-                x, y = _star(fp[begins[i] : begins[i] + size[i]])
+                x, y = group_links(fp[begins[i] : begins[i] + size[i]], int(key[begins[i]]) >> 30)
                 a.append(x)
                 b.append(y)
-            return record_batch(link_schema, np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64))
+            a, b = (np.concatenate(x).astype(np.int64) for x in (a, b))
+            return record_batch(met_schema, pa.nulls(len(a), pa.int64()), a, b)
 
+        def put_off(key: int, fps: np.ndarray) -> pa.RecordBatch:
+            return record_batch(met_schema, np.full(len(fps), key), fps.astype(np.int64), pa.nulls(len(fps), pa.int64()))
+
+        key, fp, large = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         for batch in batches:
-            key, fp = np.r_[key, batch.column("key").to_numpy()], np.r_[fp, batch.column("fp").to_numpy().astype(np.uint64)]
-            ready = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            new, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().astype(np.uint64)
+            if large is not None:  # the rest of a group that was put off
+                more = int(np.searchsorted(new, large, side="right"))
+                if more:
+                    yield put_off(large, fps[:more])
+                    new, fps = new[more:], fps[more:]
+            if not len(new):
+                continue
+            key, fp = np.r_[key, new], np.r_[fp, fps]
+            ready = int(np.searchsorted(key, key[-1]))
             if ready:
                 yield found(key[:ready], fp[:ready])
                 key, fp = key[ready:], fp[ready:]
+            if len(key) > most:
+                large = int(key[0])
+                yield put_off(large, fp)
+                key, fp = key[:0], fp[:0]
         if len(key):
             yield found(key, fp)
 
+    def cell(group: pa.Table) -> pa.Table:
+        fps = np.unique(group.column("a").to_numpy().astype(np.uint64))
+        a, b = group_links(fps, group.column("key")[0].as_py() >> 30)
+        return pa.Table.from_batches([record_batch(link_schema, a.astype(np.int64), b.astype(np.int64))])
+
     keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     dealt = keyed.repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(meet, "a long, b long")
+    met = materialize(dealt.mapInArrow(meet, "key long, a long, b long"), "met")
+    direct, late = met.where("key IS NULL").select("a", "b"), met.where("key IS NOT NULL").select("key", "a")
+    if not late.take(1):
+        return direct
+    blocks = late.groupBy("key").agg(F.ceil(F.count("*") / most).alias("n"))
+    own = late.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = own.select("key", "a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return direct.unionByName(cells.groupBy("key", "i", "j").applyInArrow(cell, "a long, b long"))
+
+
+#: Parts that a large component's rows are dealt to when its label is joined.
+SALT = 16
 
 
 def labelled(own: DataFrame) -> DataFrame:
     """``own`` (doc_id, fp): fp, component_id of each fingerprint."""
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes))
-    known = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(least, "root").select("fp", "component_id")
+    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(SALT)).alias("salt"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    known = linked.join(salted, ["root", "salt"]).select("fp", "component_id")
+    return nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

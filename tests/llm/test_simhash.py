@@ -79,6 +79,31 @@ def test_large_groups_and_chains(spark):
     assert found.count() < 3 * 64 * len(fps)
 
 
+def test_groups_dealt_out_give_the_same(spark):
+    rng = np.random.default_rng(5)
+    base = [int(rng.integers(0, 1 << 62)) for _ in range(6)]
+    fps = sorted({b ^ sum(1 << int(i) for i in set(rng.choice(64, int(rng.integers(0, 9))))) for b in base for _ in range(60)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole, parts = ({r.node: r.root for r in components(simhash.links(frame, most)).collect()} for most in (1 << 40, 2))
+    u = np.array(fps, np.int64).astype(np.uint64)
+    pairs = [(fps[i], fps[j]) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(u[i] ^ u) <= 4).tolist() if j > i]
+    want = reach(pairs, fps)
+    assert {n: whole.get(n, n) for n in fps} == want == {n: parts.get(n, n) for n in fps}
+
+
+def test_group_links_connect_what_chains_connect():
+    rng = np.random.default_rng(6)
+    for start in (0, 5, 15):
+        centre = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        flips = np.array([sum(1 << int(i) for i in set(rng.choice(64, int(rng.integers(0, 8))))) for _ in range(400)], np.uint64)
+        fps = np.unique(centre[rng.integers(0, 4, 400)] ^ flips)
+        a, b = simhash.group_links(fps, start)
+        near = [(int(fps[i]), int(fps[j])) for i in range(len(fps)) for j in np.flatnonzero(simhash.viable(fps[i] ^ fps, start)).tolist() if j > i]
+        nodes = [int(f) for f in fps]
+        assert reach(zip(a.tolist(), b.tolist()), nodes) == reach(near, nodes) and len(a) < len(fps)
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(edges).collect()} == {0}
