@@ -320,8 +320,9 @@ def repeated_windows(
     ``finish`` gets a block's row, document ids, offsets, bytes, units and the flags of the units to
     remove.
     """
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
     blocks = text_blocks(docs, f"{name}-blocks", carry)
+    # two buckets a block of text, so that what a task holds of a bucket doesn't grow with the input
+    buckets = max(shuffle_partitions(docs.sparkSession), 2 * blocks.count())
     shared = materialize(shared_anchors(blocks, units_of, window, gram, buckets, within, hot_blocks), f"{name}-anchors")
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -17,13 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, named by spark.checkpoint.dir.  Only a local session without
+    one (tests) gets a temporary folder; on a cluster that is an error."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -34,11 +35,13 @@ _records: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage and
-    survives lost executors."""
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage and survives
+    lost executors.  What is still there goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     for record in _records:
         record.append(path)
     out = spark.read.schema(df.schema).parquet(path)

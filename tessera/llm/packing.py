@@ -9,7 +9,8 @@ What then remains is under j pieces for each class, whatever the input: they go
 the last bins.
 
 Defined results: a null or empty text is the end token alone; rows that repeat a doc_id are packed
-apart; the string of the special token in a text is that token, as in the library.
+apart; the string of the special token in a text is that token, as in the library; columns beside
+doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ k is the number of documents that reach the ``LOSS`` quantile of those scores.
 
 Defined results: a text without trigrams (null, or under three bytes) scores 0; without a labelled
 good document all scores are 0 and every document is kept; documents that tie with the k-th are
-kept too.  The draw depends on doc_id alone.
+kept too.  The draw depends on doc_id alone, so rows that repeat a doc_id draw alike; a label that
+repeats counts once.  Columns beside doc_id and text are carried or ignored.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations

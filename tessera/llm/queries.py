@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
-from .common import table
+from .common import recorded, release, table
 from .language import identify
 from .media import fingerprint_media
 from .neighbours import nearest_neighbours
@@ -58,6 +60,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def _tidy(query):
+    """The query, which deletes those of its own tables that the result doesn't read."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables: list[str] = []
+        with recorded(tables):
+            out = query(spark, sf_dir)
+        release(tables, out)
+        return out
+
+    return run
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +87,8 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
+QUERIES = {name: _tidy(query) for name, query in QUERIES.items()}
+
 #: The given tables have no null doc_id and no doc_id twice.
 SQL: dict[str, str] = {
     "op1_suffix_dedup": """

@@ -27,8 +27,6 @@ from .common import record_batch
 WINDOW = 20
 GRAM = 4
 HOT_BLOCKS = 1024
-#: Carries whether a text was null.
-NULL_TEXT = "__text_is_null"
 
 
 def word_units(data: bytes, offsets: np.ndarray) -> Units:
@@ -96,16 +94,17 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, hot_blocks: int =
     names = docs.columns
     rest = [c for c in names if c != "text"]
     schema = to_arrow_schema(docs.select(*rest, "text").schema)
+    flag = "_".join(["text_is_null", *names])  # carries whether a text was null; no column has that name
 
     def finish(row: dict, ids: np.ndarray, offsets: np.ndarray, data: bytes, units: Units, gone: np.ndarray) -> pa.RecordBatch:
         removed, kept = remaining(units, gone)
         other = carried(row)
         texts = [(k if n else data[a:b]).decode() for n, k, a, b in zip(removed.tolist(), kept, offsets[:-1].tolist(), offsets[1:].tolist())]
-        missing = other.column(NULL_TEXT).to_numpy(zero_copy_only=False).astype(bool)
+        missing = other.column(flag).to_numpy(zero_copy_only=False).astype(bool)
         columns = [other.column(c).cast(schema.field(c).type) for c in rest]
         return pa.RecordBatch.from_arrays([*columns, pa.array(texts, schema.field("text").type, mask=missing)], schema=schema)
 
-    marked = docs.withColumn(NULL_TEXT, docs.text.isNull())
+    marked = docs.withColumn(flag, docs.text.isNull())
     gram = GRAM if window >= 2 * GRAM else 1
     result = repeated_windows(
         marked, word_units, lambda rows: factor(rows, window), finish, (docs.select(*rest, "text").schema, schema), window=window, gram=gram, within=True,

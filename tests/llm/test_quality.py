@@ -1,5 +1,6 @@
 """Importance resampling: counts and weights against plain loops, kept documents against labels."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,66 @@ def test_keeps_good_documents(spark):
     assert kept[1] > 0.98 and kept[0] < 0.15, kept
 
 
+def plain_resample(rows, labels, folds, uniform):
+    """Scores, weights, keys and kept rows by loops over trigrams; ``rows`` (doc_id, text)."""
+    good = {d for d, q in labels if q == 1}
+
+    def bucket(g):
+        x = np.array([g], np.uint64)
+        return int(quality.mixed(x)[0]) & (quality.HASHED - 1)
+
+    def count(texts):
+        one, two, three, words = Counter(), Counter(), Counter(), [0.5, 0.5]
+        for t in texts:
+            b = (t or "").encode()
+            for i in range(len(b) - 2):
+                one[b[i]] += 1
+                two[b[i : i + 2]] += 1
+                three[bucket(b[i] << 16 | b[i + 1] << 8 | b[i + 2])] += 1
+            w = (t or "").split()
+            for x, y in zip(w, w[1:]):
+                words[x != y] += 1
+        return one, two, three, [math.log(v / sum(words)) for v in words]
+
+    def p(model, b, i):
+        one, two, three, _ = model
+        bigram = (two[b[i + 1 : i + 3]] + 4 / 256) / (one[b[i + 1]] + 4)
+        return (three[bucket(b[i] << 16 | b[i + 1] << 8 | b[i + 2])] + 4 * bigram) / (two[b[i : i + 2]] + 4)
+
+    def score(t, raw, target):
+        b, w = (t or "").encode(), (t or "").split()
+        if len(b) < 3:
+            return 0.0
+        total = sum(math.log(p(target, b, i) / p(raw, b, i)) for i in range(len(b) - 2))
+        same = sum(x == y for x, y in zip(w, w[1:]))
+        total += same * (target[3][0] - raw[3][0]) + (max(len(w) - 1, 0) - same) * (target[3][1] - raw[3][1])
+        return total / (len(b) - 2 + 100)
+
+    raw, whole = count(t for _, t in rows), count(t for d, t in rows if d in good)
+    half = {k: count(t for d, t in rows if d in good and folds[d] == k) for k in (1, 2)}
+    scores = [score(t, raw, whole) for _, t in rows]
+    keys = [s * 100 - math.log(-math.log(uniform[d])) for s, (d, _) in zip(scores, rows)]
+    cut = np.quantile([score(t, raw, half[3 - folds[d]]) for d, t in rows if d in good], 0.0025)
+    k = sum(s >= cut for s in scores)
+    limit = sorted(keys, reverse=True)[k - 1]
+    return [(d, s * 100, key, key >= limit - 1e-6) for (d, _), s, key in zip(rows, scores, keys)]
+
+
+def test_weights_and_kept_rows_are_the_plain_ones(spark, sf_dir):
+    docs = [(r.doc_id, r.text[:1500]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(9000, None), (9001, "ab"), (9002, ""), (9003, "same same same")]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    frame = spark.createDataFrame([(*r, "q") for r in docs], "doc_id long, text string, fold string")
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(quality.SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    drawn = frame.select("doc_id", u.alias("u"), (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))).alias("fold")).collect()
+    want = {r[0]: r for r in plain_resample(docs, labels, {r.doc_id: r.fold for r in drawn}, {r.doc_id: r.u for r in drawn})}
+    got = quality.resample(frame.drop("fold"), spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, text int")).collect()
+    assert len(got) == len(docs) and 0 < sum(r.keep for r in got) < len(docs)
+    for r in got:
+        _, weight, key, keep = want[r.doc_id]
+        assert abs(r.log_weight - weight) < 1e-6 and abs(r.gumbel_key - key) < 1e-6 and r.keep == keep
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "ab", 0), (None, "words here", 1), (5, "words here", 1), (5, "words here", 1)], "doc_id long, text string, good int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
