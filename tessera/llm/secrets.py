@@ -1,8 +1,9 @@
 """Operator 7: secret scans: fixed patterns, and a randomness battery under false-discovery control.
 
 Base spans come from three patterns (assignments, access keys, hexadecimal strings) and always
-stay.  The battery looks at every other run of 20 or more characters of the base64 and base64url
-alphabets that has both a digit and a letter.  The encoding is the smallest alphabet that holds
+stay.  The battery looks at every run of 20 or more characters of the base64 and base64url
+alphabets outside them that has both a digit and a letter; a run with signs of both alphabets is cut
+at those of one or the other.  The encoding is the smallest alphabet that holds
 the run; its symbols are put to three tests of uniform randomness: chi-squared over the alphabet
 (pooled into so many equal cells as the length bears), runs about the median, and serial
 correlation at lag one.  The least of the three p-values, times three, says how well structure is
@@ -11,6 +12,8 @@ rate that falls as longer runs give the tests more power; runs that stay unrejec
 P-values are counted on a fixed grid, so what reaches the driver doesn't grow with the input.
 
 Defined results: a null or empty text has no spans.  Offsets count code points, ends exclusive.
+Rows that repeat, also a doc_id, keep a row each, and their runs count each.  Other columns are
+carried or ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import materialize, record_batch, slices
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+SHORTEST = 20
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 DIGIT = re.compile(r"[0-9]")
 #: A word of ASSIGN, for a quick look before the pattern runs.
@@ -146,15 +150,39 @@ def cutoffs(counts: dict[tuple[int, int], int]) -> list[int]:
     return out
 
 
+SIGNS = (re.compile(r"[^-_]+"), re.compile(r"[^+/]+"))
+
+
+def _parts(run: str) -> list[tuple[int, int]]:
+    """The run, or if it has signs of both base64 alphabets, its stretches of either that are long
+    enough; the longest first, none over another."""
+    if not (("+" in run or "/" in run) and ("-" in run or "_" in run)):
+        return [(0, len(run))]
+    found = sorted({m.span() for sign in SIGNS for m in sign.finditer(run) if m.end() - m.start() >= SHORTEST}, key=lambda s: (s[0] - s[1], s))
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        if all(b <= c or d <= a for c, d in out):
+            out.append((a, b))
+    return sorted(out)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, grid step) of runs for the battery, outside the base spans."""
     out = []
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        found = battery(m[0])
-        if found:
-            out.append((m.start(), m.end(), length_class(len(m[0])), grid(found[1])))
+        at, free = m.start(), []
+        for a, _, b in base:
+            if a < m.end() and m.start() < b:
+                free.append((at, a))
+                at = max(at, b)
+        free.append((at, m.end()))
+        for start, end in free:
+            if end - start < SHORTEST:
+                continue
+            for a, b in _parts(text[start:end]):
+                found = battery(text[start + a : start + b])
+                if found:
+                    out.append((start + a, start + b, length_class(b - a), grid(found[1])))
     return out
 
 

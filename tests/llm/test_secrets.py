@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -53,6 +54,79 @@ def test_battery_tells_random_from_structured():
     assert secrets.battery("erungtztzeinlichkeitlichlich") is None
 
 
+def plain_battery(run):
+    """The three tests by loops over symbols."""
+    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+        return None
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [digits + "abcdef", digits + "ABCDEF", upper + "234567", digits + lower, digits + upper, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    signs = next((k for k in kinds if set(run) <= set(k)), None)
+    if signs is None:
+        return None
+    x, size, n = [signs.index(c) for c in run], len(signs), len(run)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    cells = max(2, min(size, n // 5))
+    chi = 0.0
+    for cell in range(cells):
+        expected = n * sum(v * cells // size == cell for v in range(size)) / size
+        chi += (sum(v * cells // size == cell for v in x) - expected) ** 2 / expected
+    df = cells - 1
+    uniform = 1.0 if chi <= 0 else tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [2 * v >= size for v in x]
+    n1 = high.count(True)
+    if n1 in (0, n):
+        ordered = 2.0 ** (1 - n)
+    else:
+        runs = 1 + sum(high[i] != high[i + 1] for i in range(n - 1))
+        mean = 2 * n1 * (n - n1) / n + 1
+        ordered = 2 * tail(max(0.0, abs(runs - mean) - 0.5) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    centre = sum(x) / n
+    power = sum((v - centre) ** 2 for v in x)
+    serial = 2 * tail(abs(sum((x[i] - centre) * (x[i + 1] - centre) for i in range(n - 1)) / power + 1 / n) * math.sqrt(n)) if power else 0.0
+    return min(1.0, 3 * min(uniform, ordered, serial, 1.0))
+
+
+def plain_random(texts):
+    """(text number, start, end) of the runs that stay unrejected, by the procedure on sorted p-values."""
+    runs = []
+    for i, text in enumerate(texts):
+        base = plain(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text or ""):
+            free = [all(not a <= p < b for a, _, b in base) for p in range(m.start(), m.end())]
+            for part in re.finditer("1+", "".join("01"[f] for f in free)):
+                a, b = m.start() + part.start(), m.start() + part.end()
+                run = text[a:b]
+                spans = [(a, b)]
+                if set(run) & set("+/") and set(run) & set("-_"):
+                    found = {(a + k.start(), a + k.end()) for pattern in ("[^-_]+", "[^+/]+") for k in re.finditer(pattern, run)}
+                    spans = []
+                    for s, e in sorted((f for f in found if f[1] - f[0] >= 20), key=lambda f: (f[0] - f[1], f)):
+                        if all(e <= c or d <= s for c, d in spans):
+                            spans.append((s, e))
+                for s, e in spans:
+                    p = plain_battery(text[s:e]) if e - s >= 20 else None
+                    if p is not None:
+                        runs.append((i, s, e, 10 ** (-min(600, int(-math.log10(max(p, 1e-300)) * 20)) / 20)))
+    out = set()
+    for low, high, rate in ((20, 32, 0.10), (32, 48, 0.05), (48, 96, 0.02), (96, 1 << 60, 0.01)):
+        own = sorted((r for r in runs if low <= r[2] - r[1] < high), key=lambda r: r[3])
+        rejected = max((k for k in range(1, len(own) + 1) if own[k - 1][3] <= rate * k / len(own)), default=0)
+        limit = own[rejected - 1][3] if rejected else -1.0
+        out |= {r[:3] for r in own if r[3] > limit}
+    return out
+
+
+def test_random_spans_are_the_plain_ones(spark, sf_dir):
+    rng = random.Random(8)
+    made = [f"see com/user-name/{base64.b64encode(rng.randbytes(24)).decode().replace('/', 'a').replace('+', 'b')} end" for _ in range(6)]
+    made += [f"x AKIA{'ABCDEFGH' * 2}-{rng.randbytes(18).hex().upper()} y", "part-0001/part-0002/part-0003/part-0004+item", "a1" * 4000, base64.b64encode(rng.randbytes(60_000)).decode()]
+    texts = ODD + made + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secrets.scan(frame).collect() for x in r.spans.split(",") if x.startswith("random")}
+    assert got == plain_random(texts) and len(got) > 5
+    assert {i for i, _, _ in got} >= {len(ODD) + k for k in (*range(6), 9)}
+
+
 def test_false_discovery_control():
     counts = {(1, 0): 90, (1, 200): 10}
     cut = secrets.cutoffs(counts)
