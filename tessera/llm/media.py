@@ -6,7 +6,8 @@ steps has a stronger one in that band; each peak is paired with the next ones wi
 pair is stored as a time code and a hash of both frequencies and the time between.
 
 Defined results: a null text is empty; its payload is 64 zero bytes.  Equal texts give equal
-values.  A spectrum without any strength has no peaks.
+values.  A spectrum without any strength has no peaks.  Of bands or frames that tie the first is
+taken.  Rows that repeat, also a doc_id, keep a row each; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +102,8 @@ SCHEMA = (
 
 
 def fingerprint_media(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
-    """Digests and features of each text as WAV; with ``keep_media`` also the time-coded pair
-    arrays (times, hashes) and the WAV bytes (media)."""
+    """Digests and features of each text as WAV, the time-coded pair arrays (times, hashes) and, with
+    ``keep_media``, the WAV bytes (media)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +121,10 @@ def fingerprint_media(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
                     rows.append(
                         [
                             doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature,
-                            *([times.astype(np.int32), hashes.astype(np.int32), media] if keep_media else [None] * 3),
+                            times.astype(np.int32), hashes.astype(np.int32), media if keep_media else None,
                         ]
                     )
                 yield record_batch(_OUT, *map(list, zip(*rows)))
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
-    return out if keep_media else out.drop("times", "hashes", "media")
+    return out if keep_media else out.drop("media")

@@ -1,6 +1,7 @@
 """Packing against the tokenizers library; media against the definition."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -81,6 +82,36 @@ def test_media(spark, sf_dir):
     assert len({r.feature for r in long}) > len(long) * 0.8
 
 
+def plain_feature(payload):
+    """Peaks, time-coded pairs and the feature by loops over frames and bands."""
+    x = [float(b) - 128 for b in payload]
+    x += [0.0] * (256 - len(x))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 255) for i in range(256)]
+    best = []
+    for at in range(0, len(x) - 255, 128):
+        power = np.abs(np.fft.rfft([v * w for v, w in zip(x[at : at + 256], window)])) ** 2
+        best.append([max(((power[f], -f) for f in range(a, b))) for a, b in ((2, 16), (16, 40), (40, 76), (76, 129))])
+    peaks = []
+    for t, row in enumerate(best):
+        for k, (p, f) in enumerate(row):
+            before, after = (best[t + d][k][0] for d in (-1, -2) if t + d >= 0), (best[t + d][k][0] for d in (1, 2) if t + d < len(best))
+            if p > 0 and all(p > q for q in before) and all(p >= q for q in after):
+                peaks.append((t, -f))
+    pairs = sorted((t, f << 13 | peaks[i + s][1] << 5 | peaks[i + s][0] - t) for i, (t, f) in enumerate(peaks) for s in (1, 2, 3) if i + s < len(peaks) and peaks[i + s][0] - t <= 24)
+    sketch = sorted((h * 0x9E3779B97F4A7C15 % 2**64) >> 32 for h in {h for _, h in pairs})[:16]
+    return pairs, f"{len(peaks)}:{len(pairs)}:" + ",".join(f"{v:08x}" for v in sketch)
+
+
+def test_features_are_the_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = ["", "same", *("".join(map(chr, rng.integers(97, 123, int(n)).tolist())) for n in rng.integers(1, 4000, 12))]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate([*rows, rows[2]])], "doc_id long, text string, feature int")
+    for r in media.fingerprint_media(frame, keep_media=False).collect():
+        raw = [*rows, rows[2]][r.doc_id].encode()
+        pairs, feature = plain_feature(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
+        assert list(zip(r.times, r.hashes)) == pairs and r.feature == feature
+
+
 def test_peaks_find_a_tone():
     n = np.arange(8000)
     time, frequency = media.peaks((128 + 100 * np.sin(2 * np.pi * n * 30 / media.FRAME)).astype(np.uint8))
