@@ -14,7 +14,10 @@ Of equal vectors only the k + 1 of least id are indexed (no query needs more), a
 equal vectors are asked once.
 
 Defined results: vectors that are null, zero, of a length other than the table's most frequent, or
-hold a null or non-finite component take no part.  Distances are Euclidean in double precision.
+hold a null or non-finite component take no part.  Distances are Euclidean in double precision, and
+ties go to the smaller id.  Of rows that repeat a vec_id the one of least vector, in the order of
+arrays, takes part; a null vec_id takes none.  Other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -80,12 +83,14 @@ def vectors_of(column: pa.Array) -> np.ndarray:
 
 def usable(table: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
     good = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).where(
-        F.col("v").isNotNull()
+        F.col("vec_id").isNotNull()
+        & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0)
     )
     size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return good.where(F.size("v") == (size.n if size else 0)), (size.n if size else 0)
+    whole = good.where(F.size("v") == (size.n if size else 0))
+    return whole.groupBy("vec_id").agg(F.min("v").alias("v")), (size.n if size else 0)
 
 
 _SHARD = "shard int, vec_id long, code long, v array<double>"
@@ -181,7 +186,7 @@ def nearest_neighbours(table: DataFrame, *, id_column: str = "vec_id", vector_co
     index = materialize(rows.withColumn("copy", F.row_number().over(own)).where(F.col("copy") <= nearest + 1).select("vec_id", "v"), "index")
     asked = rows.where(F.col("vec_id") % every == 0)
     asked = materialize(asked.select("vec_id", "v", F.min("vec_id").over(Window.partitionBy("v")).alias("query")), "asked")
-    queries = asked.where("vec_id = query").select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = asked.where("vec_id = query").select("vec_id", "v")
     sample = np.array([r.v for r in index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]).reshape(-1, size)
     codes = Codes(sample, nearest)
     found = materialize(_search(index, queries, codes, codes.radius, nearest + 1), "found")

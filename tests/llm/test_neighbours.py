@@ -73,3 +73,17 @@ def test_blocks_change_nothing(spark):
     whole = {tuple(r) for r in _search(rows, queries, codes, codes.radius, 5).collect()}
     dealt = {tuple(r) for r in _search(rows, queries, codes, codes.radius, 5, index_block=9, query_block=7).collect()}
     assert whole == dealt and len(whole) > 100
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)]
+    rows += [(0, [1.0] * 8), (7, [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.1]), (7, rows[7][1]), (None, [1.0] * 8)]
+    got = result(spark.createDataFrame([(*r, 3, "q") for r in rows], "vec_id long, embedding array<double>, rank int, query_id string"))
+    least = {}
+    for i, v in rows:
+        if i is not None:
+            least[i] = min(least.get(i, v), v)
+    want = brute(sorted(least.items()))
+    assert list(got) == [0] == list(want) and [i for _, i, _ in got[0]] == [i for _, i, _ in want[0]]
+    assert np.allclose([d for *_, d in got[0]], [d for *_, d in want[0]])
