@@ -1,12 +1,15 @@
 """Operator 9: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes, with a space at either end, in both directions and labels every
-position; a document's probabilities are the means over all its positions.  It is trained in
-numpy by back-propagation through time on a bounded sample of labelled documents.  State does not
-pass from word to word, so a word that a task has met needs no second reading.
+The network reads a text's bytes in both directions and labels every position; a document's
+probabilities are the means over all its positions.  A text is read in windows of ``CORE`` bytes
+with ``AROUND`` bytes of the same text on either side, so that every position has been reached
+across the words before and after it.  The network is trained in numpy by back-propagation through
+time on a bounded sample of labelled documents.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0, and so does every
-text if there is nothing to learn from.  A null doc_id is held out.
+text if there is nothing to learn from.  Of languages that tie the first by name is taken.  Rows
+that repeat keep a row each; a null doc_id is held out; columns beside doc_id, text and lang are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,23 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices
+from .common import record_batch, slices, text_buffer
 
 HIDDEN = 16
-#: Bytes read at once; longer words are read in parts of so many.
-LONGEST = 48
-#: The bound of the training sample: documents a language (those of least hash), each under so
-#: many characters, and words drawn from them.
+CORE, AROUND = 448, 32
+#: Cores of windows are padded to multiples of so many bytes.
+STEP = 64
+#: Windows read at once.
+ROWS = 768
+#: The bound of the training sample: documents a language (those of least hash), and windows of so
+#: many bytes drawn from each.
 SAMPLE_DOCS = 300
-SAMPLE_CHARS = 20_000
-SAMPLE_WORDS = 16_000
+SAMPLE_WINDOWS = 4
+SAMPLE_BYTES = 128
 #: So many times the sample is drawn by hash before it is ordered.
 SPARE = 4
 EPOCHS = 4
-BATCH = 256
-#: Words whose probabilities a worker keeps.
-KEEP_WORDS = 400_000
+BATCH = 32
 UNKNOWN = "und"
+SPACE = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -59,12 +64,13 @@ class Network:
     def read(self, x: np.ndarray, direction: str, keep: bool = False):
         """States after each byte of ``x`` (batch x length), read forwards or backwards."""
         g, u, n = self.p[f"g{direction}"], self.p[f"u{direction}"], self.hidden
-        steps = range(x.shape[1]) if direction == "f" else range(x.shape[1] - 1, -1, -1)
-        h = np.zeros((len(x), n), np.float32)
-        states = np.empty((x.shape[1], len(x), n), np.float32)
+        columns = np.ascontiguousarray(x.T)
+        steps = range(len(columns)) if direction == "f" else range(len(columns) - 1, -1, -1)
+        h = np.zeros((len(x), n), g.dtype)
+        states = np.empty((len(columns), len(x), n), g.dtype)
         tape = []
         for t in steps:
-            a, s = g[x[:, t]], h @ u
+            a, s = g[columns[t]], h @ u
             gates = _sigmoid(a[:, : 2 * n] + s[:, : 2 * n])
             z, r, inner = gates[:, :n], gates[:, n:], s[:, 2 * n :]
             new = np.tanh(a[:, 2 * n :] + r * inner)
@@ -74,22 +80,28 @@ class Network:
             states[t] = h
         return states, tape
 
+    def labelled(self, both: np.ndarray) -> np.ndarray:
+        scores = both @ self.p["v"] + self.p["c"]
+        scores = np.exp(scores - scores.max(-1, keepdims=True))
+        return scores / scores.sum(-1, keepdims=True)
+
     def positions(self, x: np.ndarray, keep: bool = False):
+        """Probabilities at each position (length x batch x classes), states and tapes."""
         forward, tape_f = self.read(x, "f", keep)
         backward, tape_b = self.read(x, "b", keep)
         both = np.concatenate([forward, backward], 2)
-        scores = both @ self.p["v"] + self.p["c"]
-        scores = np.exp(scores - scores.max(2, keepdims=True))
-        return scores / scores.sum(2, keepdims=True), both, tape_f, tape_b
+        return self.labelled(both), both, tape_f, tape_b
 
-    def gradients(self, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the positions, and its gradients, back through time."""
+    def gradients(self, x: np.ndarray, label: np.ndarray, own: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the positions (those that are ``own``), and its gradients, back through time."""
         p, both, tape_f, tape_b = self.positions(x, keep=True)
         rows = np.arange(len(x))
-        loss = -float(np.log(p[:, rows, label] + 1e-9).mean())
+        weight = np.ones(p.shape[:2], p.dtype) if own is None else own.T.astype(p.dtype)
+        weight /= max(weight.sum(), 1)
+        loss = -float((np.log(p[:, rows, label] + 1e-9) * weight).sum())
         d = p.copy()
         d[:, rows, label] -= 1
-        d /= p.shape[0] * p.shape[1]
+        d *= weight[:, :, None]
         n, v = self.hidden, self.p["v"]
         out = {"v": both.reshape(-1, 2 * n).T @ d.reshape(-1, v.shape[1]), "c": d.sum((0, 1))}
         dstates = d @ v.T
@@ -111,30 +123,28 @@ class Network:
         return loss, out
 
 
-def parts_of(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def framed(words: list[bytes]) -> np.ndarray:
-    """Words of one length as rows of bytes between spaces."""
+    """Byte strings of one length as rows of bytes between spaces."""
     return np.frombuffer(b"".join(b" %b " % w for w in words), np.uint8).reshape(len(words), -1)
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: int, *, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(windows: list[bytes], labels: np.ndarray, classes: int, *, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """A network by Adam over batches of windows; shorter ones are padded, and padding isn't judged."""
     net, draw = Network(classes, seed=seed), np.random.default_rng(seed)
-    length = np.array([len(w) for w in words])
+    length = np.array([len(w) for w in windows])
+    x = np.full((len(windows), int(length.max())), SPACE, np.uint8)
+    for i, w in enumerate(windows):
+        x[i, : len(w)] = np.frombuffer(w, np.uint8)
+    own = np.arange(x.shape[1]) < length[:, None]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
-        order = draw.permutation(len(words))
-        order = order[np.argsort(length[order], kind="stable")]
-        edges = [a + i for a, b in _stretches(length[order]) for i in range(0, b - a, BATCH)] + [len(words)]
-        batches = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
-        for i in draw.permutation(len(batches)).tolist():
-            which = batches[i]
-            _, grads = net.gradients(framed([words[j] for j in which.tolist()]), labels[which])
+        order = draw.permutation(len(windows))
+        for at in range(0, len(order), BATCH):
+            which = order[at : at + BATCH]
+            _, grads = net.gradients(x[which], labels[which], own[which])
             step += 1
-            rate = 0.01 * 0.5**epoch * len(which) / BATCH
+            rate = 0.01 * 0.5**epoch
             for k, g in grads.items():
                 m, s = moments[k]
                 m += 0.1 * (g - m)
@@ -143,89 +153,58 @@ def train(words: list[bytes], labels: np.ndarray, classes: int, *, epochs: int =
     return net
 
 
-def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
-    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(x)]))
-
-
-class Reader:
-    """Word probabilities by a network, kept for words met before."""
-
-    made: dict[int, Reader] = {}
-
-    @classmethod
-    def of(cls, net: Network, version: int) -> Reader:
-        if version not in cls.made:
-            cls.made = {version: cls(net)}
-        return cls.made[version]
-
-    def __init__(self, net: Network):
-        self.net, self.classes = net, len(net.p["c"])
-        self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((0, self.classes + 1), np.float32)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Sums of the probabilities over each word's positions, and their number."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEEP_WORDS and self.known:
-            self.known, self.sums, new = {}, self.sums[:0], list(words)
-        if not new:
-            return
-        pieces, owner = [], []
-        for i, w in enumerate(new):
-            for part in parts_of(w):
-                pieces.append(part)
-                owner.append(i)
-        owner_ = np.array(owner)
-        length = np.array([len(p) for p in pieces])
-        order = np.argsort(length, kind="stable")
-        sums = np.zeros((len(new), self.classes + 1), np.float32)
-        for a, b in _stretches(length[order]):
-            for at in range(a, b, 4096):
-                which = order[at : min(at + 4096, b)]
-                p = self.net.positions(framed([pieces[j] for j in which.tolist()]))[0][1:-1].sum(0)
-                np.add.at(sums, owner_[which], np.concatenate([p, np.full((len(which), 1), length[which[0]], np.float32)], 1))
-        self.known.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
-        self.sums = np.concatenate([self.sums, sums])
-
-    def documents(self, texts: list[list[bytes]]) -> np.ndarray:
-        self.learn(set().union(*texts))
-        at = np.array([self.known[w] for words in texts for w in words], np.int64)
-        counts = np.array([len(words) for words in texts])
-        total = np.zeros((len(texts), self.classes + 1))
-        used = np.flatnonzero(counts)
-        if len(used):
-            total[used] = np.add.reduceat(self.sums[at].astype(np.float64), (np.cumsum(counts) - counts)[used], axis=0)
-        return total[:, :-1] / np.maximum(total[:, -1:], 1)
+def document_means(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean probabilities over the positions of each text; zeros for an empty one."""
+    lengths = np.diff(offsets)
+    cuts = -(-lengths // CORE)
+    doc = np.repeat(np.arange(len(lengths)), cuts)
+    start = offsets[:-1][doc] + CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    size = np.minimum(CORE, offsets[1:][doc] - start)
+    total = np.zeros((len(lengths), len(net.p["c"])))
+    span = np.minimum(CORE, -(-size // STEP) * STEP)  # a window's padding depends on its own length alone
+    batches = [(int(most), own[at : at + ROWS]) for most in np.unique(span) for own in [np.flatnonzero(span == most)] for at in range(0, len(own), ROWS)]
+    for most, which in batches:
+        place = start[which, None] - AROUND + np.arange(most + 2 * AROUND)
+        inside = (place >= offsets[:-1][doc[which], None]) & (place < offsets[1:][doc[which], None])
+        x = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(SPACE))
+        states = [net.read(x, d)[0][AROUND : AROUND + most] for d in "fb"]
+        p = net.labelled(np.concatenate(states, 2))
+        p *= (np.arange(most)[:, None] < size[which])[:, :, None]
+        np.add.at(total, doc[which], p.sum(0))
+    return total / np.maximum(lengths, 1)[:, None]
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, *, docs_a_language: int = SAMPLE_DOCS, words_a_language: int = SAMPLE_WORDS) -> tuple[Network | None, list[str]]:
-    """Network and languages from the labelled documents that aren't held out."""
-    use = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") < SAMPLE_CHARS)).select("doc_id", "lang", "text")
+def fit(docs: DataFrame, *, docs_a_language: int = SAMPLE_DOCS, windows_a_document: int = SAMPLE_WINDOWS) -> tuple[Network | None, list[str]]:
+    """Network and languages from the labelled documents that aren't held out: of each language up
+    to ``docs_a_language`` (whatever their lengths), and of each up to ``windows_a_document`` windows,
+    evenly spaced.  Only those windows reach the driver."""
+    use = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = use.groupBy("lang").count()  # a row for each language
     share = counts.select(F.col("lang").alias("l"), (F.lit(SPARE * docs_a_language) / F.col("count")).alias("share"))
-    few = use.join(F.broadcast(share), use.lang == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = (
-        few.withColumn("place", F.row_number().over(least))
-        .where(F.col("place") <= docs_a_language)
-        .select("lang", "text")
-        .collect()
-    )
+    few = use.join(share, use.lang == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("doc_id", "lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = []
+                for text in part.column("text").to_pylist():
+                    raw = text.encode()
+                    n = min(windows_a_document, -(-len(raw) // SAMPLE_BYTES))
+                    room = max(len(raw) - SAMPLE_BYTES, 0)
+                    found.append([raw[(a := room * i // max(n - 1, 1)) : a + SAMPLE_BYTES] for i in range(n)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "lang", "windows"])
+
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "windows")
+    drawn = few.mapInArrow(cut, "doc_id long, lang string, windows array<binary>").withColumn("place", F.row_number().over(least))
+    rows = drawn.where(F.col("place") <= docs_a_language).select("lang", "windows").collect()
     languages = sorted({r.lang for r in rows})
-    draw = np.random.default_rng(11)
-    words: list[bytes] = []
-    labels: list[int] = []
-    for i, language in enumerate(languages):
-        own = sorted(p for r in rows if r.lang == language for w in r.text.encode().split() for p in parts_of(w))
-        which = draw.choice(len(own), min(words_a_language, len(own)), replace=False) if own else []
-        words += [own[j] for j in which]
-        labels += [i] * len(which)
-    return (train(words, np.array(labels), len(languages)), languages) if words else (None, languages)
+    number = {language: i for i, language in enumerate(languages)}
+    pairs = sorted((number[r.lang], bytes(w)) for r in rows for w in r.windows)
+    return (train([w for _, w in pairs], np.array([i for i, _ in pairs]), len(languages)), languages) if pairs else (None, languages)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -233,20 +212,18 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 
 def predict(docs: DataFrame, net: Network | None, languages: list[str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
-    version = 0 if net is None else hash(net.p["gf"].tobytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None if net is None else Reader.of(net, version)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
                 letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
-                if reader is None:
+                if net is None:
                     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
-                    p = reader.documents([t.encode().split() if ok else [] for t, ok in zip(texts, letters)])
-                    best = p.argmax(1)
-                    names = [languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters)]
+                    data, offsets = text_buffer(pa.array([t if ok else "" for t, ok in zip(texts, letters)], pa.string()))
+                    p = document_means(net, data, offsets)
+                    names = [languages[k] if ok else UNKNOWN for k, ok in zip(p.argmax(1).tolist(), letters)]
                     score = np.where(letters, p.max(1), 0.0)
                 yield record_batch(_OUT, part.column("doc_id"), part.column("held_out"), names, np.clip(score, 0, 1))
 
