@@ -8,6 +8,7 @@ six numbers a00, a01, tx, a10, a11, ty.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,6 +86,14 @@ def huber(d, sigma) -> Column:
     return F.when(d <= s, d * d / 2).otherwise(s * (d - s / 2))
 
 
+def huber_gradient(d, sigma, slopes: Sequence) -> list[Column]:
+    """Gradient of the Huber loss by the derivatives ``slopes`` of d.  Beyond ``sigma`` it is
+    sigma times the derivative, without the sign of d, as the surveyed one is."""
+    d, s = col(d), col(sigma)
+    scale = F.when(F.abs(d) <= s, d).otherwise(s)
+    return [scale * col(x) for x in slopes]
+
+
 def angle_degrees(dx, dy) -> Column:
     """Direction in degrees, from 0 up to 360."""
     a = F.degrees(F.atan2(col(dy), col(dx)))
@@ -140,11 +149,17 @@ def overlaps(a, b, *, whole: bool = False, least=None) -> Column:
 
 
 def overlaps_compat(a, b) -> Column:
-    """F16: the overlap test with its known slip: the second disjunct compares one box with
-    itself and never holds."""
-    one_way = lambda p, q, i: (col(p[i]) <= col(q[i])) & (col(p[i + 1]) >= col(q[i]))
-    never = (col(b[0]) <= col(a[0])) & (col(b[1]) < col(b[0]))
-    return (one_way(a, b, 0) | never) & (one_way(a, b, 2) | one_way(b, a, 2))
+    """F16: the overlap test with its known slip: what should ask whether b ends before a begins
+    asks whether b ends before it begins itself.  So only boxes a that end before b are rejected,
+    and inverted boxes b."""
+    apart = lambda i: (col(a[i + 1]) < col(b[i])) | (col(b[i + 1]) < col(b[i]))
+    return ~(apart(0) | apart(2))
+
+
+def transformed_overlaps(a, m, box) -> Column:
+    """a box through an affine overlaps another (P6, then F1 on whole numbers)."""
+    low_x, low_y, high_x, high_y = affine_box(a[0], a[2], a[1], a[3], m)
+    return overlaps((low_x, high_x, low_y, high_y), box, whole=True)
 
 
 def in_box(x, y, box) -> Column:
@@ -171,16 +186,10 @@ def signed_area(a, b, c) -> Column:
 
 
 def barycentric(p, a, b, c) -> tuple[Column, Column, Column]:
-    """Weights of the corners a, b, c in p; null for a flat triangle."""
-    v0 = (col(b[0]) - col(a[0]), col(b[1]) - col(a[1]))
-    v1 = (col(c[0]) - col(a[0]), col(c[1]) - col(a[1]))
-    v2 = (col(p[0]) - col(a[0]), col(p[1]) - col(a[1]))
-    dot = lambda s, t: s[0] * t[0] + s[1] * t[1]
-    d00, d01, d11, d20, d21 = dot(v0, v0), dot(v0, v1), dot(v1, v1), dot(v2, v0), dot(v2, v1)
-    scale = d00 * d11 - d01 * d01
-    v = F.when(scale != 0, (d11 * d20 - d01 * d21) / scale)
-    w = F.when(scale != 0, (d00 * d21 - d01 * d20) / scale)
-    return 1 - v - w, v, w
+    """Weights of the corners a, b, c in p, the shares of the areas opposite to them; null for
+    a flat triangle."""
+    whole = signed_area(a, b, c)
+    return tuple(F.when(whole != 0, part / whole) for part in (signed_area(p, b, c), signed_area(a, p, c), signed_area(a, b, p)))
 
 
 def in_triangle(p, a, b, c, strict: bool = False) -> Column:
@@ -244,3 +253,13 @@ def parsed_box(text: str) -> tuple[float, float, float, float]:
     if len(parts) != 4 or not all(map(math.isfinite, parts)):
         raise ValueError(f"a box has four finite numbers: {text!r}")
     return parts[0], parts[1], parts[2], parts[3]
+
+
+# -- draws -------------------------------------------------------------------------------------
+
+
+def draw(seed: int, *keys) -> Column:
+    """A number from 0 up to 1 by a hash of the key, the same in any layout and in any engine with
+    md5: its first eight hexadecimal digits."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -75,6 +75,17 @@ def largest_error(edges: DataFrame, keys: Sequence[str], error: str, *, over: fl
     return use.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(error) > over, F.col(error))), F.lit(0.0)).alias("max_error"))
 
 
+def success_statistics(df: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
+    """Share of successes and its sample deviation; every trial is a batch of its own."""
+    return running_statistics(df.withColumn("_ok", ok.cast("double")), keys, "_ok").withColumnsRenamed({"n": "trials", "mean": "accuracy"})
+
+
+def setting_table(sweep: DataFrame, keys: Sequence[str], correct: str, time: str, trials: int = 1000) -> DataFrame:
+    """Accuracy (correct answers of ``trials``) and cost (mean time) of each setting."""
+    out = sweep.groupBy(*keys).agg(F.sum(correct).alias("correct"), F.avg(time).alias("cost"))
+    return out.withColumn("accuracy", F.col("correct") / trials)
+
+
 def running_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean and sample deviation, as an online update would give them."""
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
@@ -104,15 +115,15 @@ def difference_report(compared_rows: DataFrame, columns: Sequence[str], keys: Se
     return compared_rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(largest).alias("largest"), F.sum(total).alias("total"), F.sum(squares).alias("squares"))
 
 
-def balanced(df: DataFrame, label: Column, ratio: float, seed: int = 42) -> DataFrame:
-    """If one class has over ``ratio`` times the rows of the other, drop rows of it by a
-    seeded draw until the ratio is met on average."""
+def balanced(df: DataFrame, label: Column, ratio: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """If one class has over ``ratio`` times the rows of the other, drop rows of it by a draw
+    over their ``keys`` until the ratio is met on average."""
     n = df.agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n")).first()
     few, many = sorted((n.p, n.n))
     if not few or many <= ratio * few:
         return df
     major = label if n.p > n.n else ~label
-    return df.where(~major | (F.rand(seed) < ratio * few / many))
+    return df.where(~major | (g.draw(seed, *keys) >= (many - ratio * few + 1) / many))
 
 
 def informative(df: DataFrame, label: Column, error: str, sigmas: float = 2.0) -> DataFrame:

@@ -5,7 +5,7 @@ Points: keys, idx, x0, y0 (original), x, y (deformed).  Triangles: keys, t, i, j
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators.spatial import BOX, points_in_triangles
+from tessera.operators.tables import delete, written
 
 
 def hex_grid(extent: DataFrame, keys: Sequence[str], spacing: float, *, pad: int = 3) -> DataFrame:
@@ -82,14 +83,9 @@ def flips(triangles: DataFrame, mesh: DataFrame, keys: Sequence[str]) -> DataFra
     return corner.groupBy(*keys).agg(F.count("*").alias("triangles"), F.count_if(g.flipped(*sides)).alias("flipped"))
 
 
-def elastic_settling(
-    x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], *, spring: float = 1.0, area: float = 1.0, cross: float = 1.0,
-    sigma: float = 10.0, most: int = 10_000, step: float = 1e-3,
-) -> tuple[np.ndarray, bool]:
-    """Points of least energy by descent with momentum, steps grown by a hundredth and cut
-    by a twentieth with the move taken back.  The energy has springs on the edges, the triangles'
-    relative areas, and Huber losses of the links: triangle, weights, and where the point should be.
-    Returns the points and whether the stopping rule was met within ``most`` steps."""
+def _energy(x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, spring: float, area: float, links: Callable):
+    """Cost and gradient at points: springs on the edges, the triangles' relative areas, and
+    ``links``, which adds its gradient to the given one and returns its cost."""
     rest = np.sqrt(((x0[edges[:, 0]] - x0[edges[:, 1]]) ** 2).sum(1) + 1e-4)
 
     def areas(x):
@@ -97,7 +93,6 @@ def elastic_settling(
         return 0.5 * ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
 
     area0 = areas(x0)
-    tri, weights, target = links
 
     def cost(x):
         grad = np.zeros_like(x)
@@ -114,57 +109,155 @@ def elastic_settling(
             b, c = x[triangles[:, (i + 1) % 3]], x[triangles[:, (i + 2) % 3]]
             side = np.stack([b[:, 1] - c[:, 1], c[:, 0] - b[:, 0]], 1) * 0.5
             np.add.at(grad, triangles[:, i], area * 2 * (ratio / area0)[:, None] * side / len(triangles))
-        if len(tri):
-            p = (weights[:, :, None] * x[triangles[tri]]).sum(1) - target
-            r = np.sqrt((p * p).sum(1) + 1e-12)
-            near = r <= sigma
-            total += cross * float(np.where(near, r * r / 2, sigma * (r - sigma / 2)).mean())
-            slope = cross * (np.where(near, r, sigma) / r)[:, None] * p / len(tri)
-            for i in range(3):
-                np.add.at(grad, triangles[tri, i], weights[:, i : i + 1] * slope)
-        return total, grad
-
-    x, velocity, done = x0.copy(), np.zeros_like(x0), False
+        return total + links(x, grad), grad
+
+    return cost
+
+
+def _huber_links(triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], cross: float, sigma: float) -> Callable:
+    """Mean Huber loss of links: triangle, weights, and where the point should be."""
+    tri, weights, target = links
+
+    def add(x, grad):
+        if not len(tri):
+            return 0.0
+        p = (weights[:, :, None] * x[triangles[tri]]).sum(1) - target
+        r = np.sqrt((p * p).sum(1) + 1e-12)
+        near = r <= sigma
+        slope = cross * (np.where(near, r, sigma) / r)[:, None] * p / len(tri)
+        for i in range(3):
+            np.add.at(grad, triangles[tri, i], weights[:, i : i + 1] * slope)
+        return cross * float(np.where(near, r * r / 2, sigma * (r - sigma / 2)).mean())
+
+    return add
+
+
+#: Sums a triangle: products of its links' weights, of weights and targets, and of targets.
+FORMS = (*(f"{a}{b}" for a, b in ("uu", "uv", "uw", "vv", "vw", "ww")), *(f"{a}{b}" for a in "uvw" for b in "xy"), "dd")
+
+
+def _square_links(triangles: np.ndarray, tri: np.ndarray, forms: np.ndarray, cross: float, n: float) -> Callable:
+    """Mean of half the squared distances, by the sums of each triangle."""
+    pairs = forms[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+    target, squares = forms[:, 6:12].reshape(-1, 3, 2), float(forms[:, 12].sum())
+
+    def add(x, grad):
+        if not len(tri):
+            return 0.0
+        corner = x[triangles[tri]]
+        moved = pairs @ corner
+        slope = cross * (moved - target) / n
+        for i in range(3):
+            np.add.at(grad, triangles[tri, i], slope[:, i])
+        return cross * (float((corner * (moved - 2 * target)).sum()) + squares) / (2 * n)
+
+    return add
+
+
+def _descended(cost: Callable, x: np.ndarray, most: int, step: float, grow: float = 1.01, cut: float = 0.95, free: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Descent with momentum, steps grown and, with the move taken back, cut, and whether it met the
+    stopping rule within ``most`` steps; only ``free`` points move."""
+    open_ = 1.0 if free is None else free[:, None].astype(float)
+    x, velocity, done = x.copy(), np.zeros_like(x), False
     best, grad = cost(x)
     for _ in range(most):
-        velocity = 0.9 * velocity - step * grad * len(x)
+        velocity = 0.9 * velocity - step * grad * len(x) * open_
         after, new = cost(x + velocity)
         if after <= best:
             done = best - after < 1e-12 * max(best, 1e-12)
-            x, best, grad, step = x + velocity, after, new, step * 1.01
+            x, best, grad, step = x + velocity, after, new, step * grow
             if done:
                 break
         else:
-            velocity, step = np.zeros_like(velocity), step * 0.95
+            velocity, step = np.zeros_like(velocity), step * cut
             if step < 1e-12:
                 break
     return x, done
 
 
+def elastic_settling(
+    x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], *, spring: float = 1.0, area: float = 1.0, cross: float = 1.0,
+    sigma: float = 10.0, most: int = 10_000, step: float = 1e-3,
+) -> tuple[np.ndarray, bool]:
+    """Points of least energy of one small mesh with its links at hand.  Returns the points
+    and whether the stopping rule was met within ``most`` steps."""
+    return _descended(_energy(x0, edges, triangles, spring, area, _huber_links(triangles, links, cross, sigma)), x0, most, step)
+
+
 def elastic_descent(x0: np.ndarray, edges: np.ndarray, triangles: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], **settings) -> np.ndarray:
     """The points of ``elastic_settling``."""
     return elastic_settling(x0, edges, triangles, links, **settings)[0]
 
 
-def elastic_meshes(mesh: DataFrame, triangles: DataFrame, links: DataFrame, keys: Sequence[str], **settings) -> DataFrame:
-    """Deformed mesh of each key; ``settled`` says whether its descent met the stopping rule.
-    Links: keys, t, u, v, w, dst_x, dst_y.  A section's mesh
-    has some hundred points whatever the number of tiles; it is one task."""
-    names = list(keys)
-    own = mesh.select(*names, "idx", "x0", "y0")
-    tagged = own.withColumn("kind", F.lit(0)).select(*names, "kind", *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(("idx", "x0", "y0"))), *(F.lit(0.0).alias(f"f{i}") for i in (3, 4, 5)))
-    tri = triangles.select(*names, F.lit(1).alias("kind"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate("tijk")), F.lit(0.0).alias("f4"), F.lit(0.0).alias("f5"))
-    link = links.select(*names, F.lit(2).alias("kind"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(("t", "u", "v", "w", "dst_x", "dst_y"))))
-
-    def descend(rows: pd.DataFrame) -> pd.DataFrame:
-        p, t, k = (rows[rows.kind == i].sort_values("f0") for i in range(3))
-        ids = p.f0.to_numpy().astype(int)
-        x0 = p[["f1", "f2"]].to_numpy()
-        corners = np.searchsorted(ids, t[["f1", "f2", "f3"]].to_numpy().astype(int))
-        pairs = np.unique(np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [0, 2]]]), axis=1), axis=0) if len(corners) else np.zeros((0, 2), int)
-        where = np.searchsorted(t.f0.to_numpy(), k.f0.to_numpy())
-        x, settled = elastic_settling(x0, pairs, corners, (where, k[["f1", "f2", "f3"]].to_numpy(), k[["f4", "f5"]].to_numpy()), **settings) if len(pairs) else (x0, True)
-        return pd.DataFrame({**{n: rows[n].iloc[0] for n in names}, "idx": ids, "x0": x0[:, 0], "y0": x0[:, 1], "x": x[:, 0], "y": x[:, 1], "settled": settled})
-
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mesh.select(*names).schema)
-    return tagged.unionByName(tri).unionByName(link).groupBy(*names).applyInPandas(descend, f"{key_types}, idx long, x0 double, y0 double, x double, y double, settled boolean")
+def _link_forms(links: DataFrame, triangles: DataFrame, mesh: DataFrame, keys: Sequence[str], sigma: float) -> DataFrame:
+    """Sums of each triangle's links, a link beyond ``sigma`` weighed by sigma over its distance, so
+    that the squares touch the Huber losses from above; n links, and their loss."""
+    met = links.join(with_corners(triangles.select(*keys, "t", "i", "j", "k"), mesh, keys, ("x", "y")), [*keys, "t"])
+    at = {a: sum((F.col(w) * F.col(f"{corner}_{a}") for w, corner in zip("vw", "bc")), F.col("u") * F.col(f"a_{a}")) - F.col(f"dst_{a}") for a in "xy"}
+    r = F.sqrt(at["x"] * at["x"] + at["y"] * at["y"] + F.lit(1e-12))
+    own = met.withColumn("r", r).withColumn("q", F.least(F.lit(1.0), F.lit(sigma) / F.col("r")))
+    names = {"u": F.col("u"), "v": F.col("v"), "w": F.col("w"), "x": F.col("dst_x"), "y": F.col("dst_y")}
+    sums = [F.sum(F.col("q") * names[f[0]] * names[f[1]]).alias(f) for f in FORMS[:-1]]
+    squares = F.sum(F.col("q") * (F.col("dst_x") * F.col("dst_x") + F.col("dst_y") * F.col("dst_y"))).alias("dd")
+    return own.groupBy(*keys, "t").agg(*sums, squares, F.count("*").cast("double").alias("n"), F.sum(g.huber("r", sigma)).alias("loss"))
+
+
+def elastic_meshes(
+    mesh: DataFrame, triangles: DataFrame, links: DataFrame, keys: Sequence[str], *, spring: float = 1.0, area: float = 1.0, cross: float = 1.0, sigma: float = 10.0, most: int = 10_000,
+    step: float = 1e-3, grow: float = 1.01, cut: float = 0.95, turns: int = 60, still: float = 1e-9,
+) -> DataFrame:
+    """Deformed mesh of each key, from x, y where the mesh has them, else from x0, y0; ``settled``
+    says whether it came to rest.  Links: keys, t, u, v, w, dst_x, dst_y.
+
+    Links stay dealt out: each turn sums them for every triangle, in squares that touch their Huber
+    losses from above at the present mesh, and only the sums (13 numbers a triangle) meet the mesh,
+    which has some hundred points whatever the number of tiles.  The energy falls every turn; a key
+    is at rest once its descent met the stopping rule and the next turn begins with an energy lower by
+    under ``still`` of itself.  Where the mesh has a column ``free``, the
+    other points stay."""
+    names, spark = list(keys), mesh.sparkSession
+    start = {a: F.col(a if a in mesh.columns else f"{a}0").cast("double") for a in "xy"}
+    begun = mesh.select(*names, F.col("idx").cast("long").alias("idx"), F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), start["x"].alias("x"), start["y"].alias("y"))
+    begun = begun.withColumn("free", F.lit(True)) if "free" not in mesh.columns else mesh.select(*names, F.col("idx").cast("long").alias("idx"), "free").join(begun, [*names, "idx"])
+    state, at = written(begun.withColumns({"energy": F.lit(None).cast("double"), "rest": F.lit(False), "settled": F.lit(False)}), "elastic")
+    columns = state.columns
+    whole, whole_at = written(links.select(*names, "t", "u", "v", "w", "dst_x", "dst_y"), "links")
+    tris = triangles.select(*names, "t", "i", "j", "k")
+
+    def descend(points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        p, t = points.sort_values("idx"), rows.sort_values("t")
+        if not len(p) or p.settled.iloc[0]:
+            return p[columns]
+        if not len(t):
+            return p.assign(settled=True)[columns]
+        x0, x = p[["x0", "y0"]].to_numpy(), p[["x", "y"]].to_numpy()
+        corners = np.searchsorted(p.idx.to_numpy(), t[["i", "j", "k"]].to_numpy())
+        edges = np.unique(np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [0, 2]]]), axis=1), axis=0)
+        tri = np.flatnonzero(t.n.notna())
+        held, n = t.iloc[tri], max(t.n.sum(), 1.0)
+        cost = _energy(x0, edges, corners, spring, area, _square_links(corners, tri, held[list(FORMS)].to_numpy(), cross, n))
+        energy = _energy(x0, edges, corners, spring, area, lambda _, __: cross * held.loss.sum() / n)(x)[0]
+        before = p.energy.iloc[0]
+        if p.rest.iloc[0] and before - energy <= still * max(energy, 1e-12):
+            return p.assign(energy=energy, settled=True)[columns]
+        moved, rest = _descended(cost, x, most, step, grow, cut, p.free.to_numpy(bool))
+        return p.assign(x=moved[:, 0], y=moved[:, 1], energy=energy, rest=rest)[columns]
+
+    for _ in range(turns):
+        if not state.where(~F.col("settled")).take(1):
+            break
+        forms = tris.join(_link_forms(whole, tris, state, names, sigma), [*names, "t"], "left")
+        after, now = written(state.groupBy(*names).cogroup(forms.groupBy(*names)).applyInPandas(descend, state.schema), "elastic")
+        delete(spark, at)
+        state, at = after, now
+    delete(spark, whole_at)
+    return state.select(*names, "idx", "x0", "y0", "x", "y", "settled")
+
+
+def border_settled(mesh: DataFrame, triangles: DataFrame, keys: Sequence[str], **settings) -> DataFrame:
+    """I8: the points of a mesh that are ``free`` (those new at its border) settled by springs and
+    areas alone, the others held; steps grow by a tenth and are halved."""
+    none = mesh.sparkSession.createDataFrame([], "t long, u double, v double, w double, dst_x double, dst_y double")
+    types = {f.name: f.dataType for f in mesh.schema}
+    links = none.select(*(F.lit(None).cast(types[k]).alias(k) for k in keys), *none.columns)
+    return elastic_meshes(mesh, triangles, links, keys, grow=1.1, cut=0.5, **settings)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import geometry as g
+
 
 def retain_best(points: DataFrame, keys: Sequence[str], response: str, n: int) -> DataFrame:
     """O3: the ``n`` points of largest response of each key, ties at the cut included."""
@@ -100,10 +102,33 @@ def grid_of_settings(spark, **values: Sequence) -> DataFrame:
 
 def drawn(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """``n`` rows by a seeded hash of their key, the same on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(g.draw(seed, *keys), *keys).limit(n)
 
 
 def joined_text(df: DataFrame, keys: Sequence[str], text: Column, order: Sequence[str]) -> DataFrame:
     """Texts of each key joined by semicolons, in order."""
     items = F.array_sort(F.collect_list(F.struct(*order, text.alias("t"))))
     return df.groupBy(*keys).agg(F.concat_ws(";", F.transform(items, lambda x: x["t"])).alias("line"))
+
+
+def succeeded(df: DataFrame, *results: str) -> DataFrame:
+    """rows whose results are there and not empty; a failed extraction leaves null or nothing."""
+    out = df
+    for c in results:
+        ok = F.col(c).isNotNull()
+        out = out.where(ok & (F.size(c) > 0) if df.schema[c].dataType.typeName() == "array" else ok)
+    return out
+
+
+def concatenated(*blocks: DataFrame) -> DataFrame:
+    """Descriptor blocks one after another; columns that a block lacks are null."""
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block, allowMissingColumns=True)
+    return out
+
+
+def swept(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """O1, O2: places of tiles in their key by x and by y, ties by id."""
+    place = lambda axis: F.row_number().over(Window.partitionBy(*keys).orderBy(axis, "tile_id"))
+    return tiles.withColumns({"by_x": place("x_start"), "by_y": place("y_start")})

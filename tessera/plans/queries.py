@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -12,23 +10,12 @@ from tessera.operators import aggregates as ag
 from tessera.operators import graph, learning, matching, raster, selection, spatial
 from tessera.operators import mesh as me
 from tessera.plans import lenses as ls
+from tessera.plans.registry import query
 from tessera.sources import tilespecs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 KEYS = ["section_id"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def rounded(name: str, places: int = 6):
     return F.round(name, places).alias(name)
 
@@ -89,6 +76,21 @@ def box_tiles(spark, sf_dir):
     return met.select(F.col("a.section_id").alias("section_id"), "ix", "iy", F.col("b.tile_id").alias("tile_id"))
 
 
+@query(f"""WITH {ls.TILES}, o AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY tile_id) n FROM tiles)
+SELECT a.section_id, count(*) pairs, count_if(a.x_start < b.x_finish AND a.x_finish > b.x_start AND a.y_start < b.y_finish AND a.y_finish > b.y_start) AS "whole",
+  count_if(NOT (a.x_finish < b.x_start OR b.x_finish < b.x_start) AND NOT (a.y_finish < b.y_start OR b.y_finish < b.y_start)) compat,
+  count_if(trunc(a.x_start / 2 - a.y_finish / 4) < b.x_finish AND trunc(a.x_finish / 2 - a.y_start / 4) > b.x_start AND trunc(a.y_start / 2 + 100) < b.y_finish AND trunc(a.y_finish / 2 + 100) > b.y_start) turned
+FROM o a JOIN o b ON a.section_id = b.section_id AND b.n - a.n BETWEEN 1 AND 8 GROUP BY 1""")
+def overlap_rules(spark, sf_dir):
+    """Each tile and the eight after it, by every overlap test."""
+    t = selection.renumbered(ls.tiles(spark, sf_dir), KEYS, ["tile_id"], "n")
+    before = t.withColumn("n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.col("n") + k)))
+    a, b = spatial.sides()
+    met = before.alias("a").join(t.alias("b"), (F.col("a.section_id") == F.col("b.section_id")) & (F.col("a.n") == F.col("b.n")))
+    rules = {"whole": g.overlaps(a, b, whole=True), "compat": g.overlaps_compat(a, b), "turned": g.transformed_overlaps(a, (0.5, -0.25, 0.0, 0.0, 0.5, 100.0), b)}
+    return met.groupBy(F.col("a.section_id").alias("section_id")).agg(F.count("*").alias("pairs"), *(F.count_if(rule).alias(name) for name, rule in rules.items()))
+
+
 COMPARE = f"""WITH {ls.TILES}, {ls.JIGGLED},
 pairs AS (
   SELECT a.section_id, a.tile_id a, b.tile_id b FROM tiles a JOIN tiles b ON a.section_id = b.section_id AND b.tile_id < a.tile_id AND {OVERLAP} AND {FRACTION} > 0.008
@@ -218,7 +220,7 @@ def pareto_front(spark, sf_dir):
 
 @query(f"WITH {ls.SETTINGS} SELECT flag, status, line, accuracy, cost FROM settings")
 def param_groupby(spark, sf_dir):
-    """A14, M7."""
+    """The settings that O6 and O7 choose from."""
     return ls.settings(spark, sf_dir)
 
 
@@ -352,13 +354,13 @@ def radius_filter(spark, sf_dir):
 
 @query("SELECT l_suppkey, count(l_quantity) n, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) std FROM lineitem GROUP BY 1")
 def welford_stats(spark, sf_dir):
-    """A12, A13."""
+    """A12."""
     return ag.running_statistics(ls.read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity").select("l_suppkey", "n", rounded("mean"), rounded("std"))
 
 
 @query(f"WITH {ls.TILES}, {ls.MESH} SELECT section_id, idx, x0, y0, x, y FROM mesh")
 def hex_grid(spark, sf_dir):
-    """G5, C15, C13."""
+    """G5, C15."""
     return ls.mesh(spark, sf_dir)[0]
 
 
@@ -383,21 +385,20 @@ def _points(spark, sf_dir):
 LOCATE = f"""{ls.TILES}, {ls.MESH}, pts AS (SELECT section_id, tile_id point_id, x_start + 1000 x, y_start + 777 y FROM tiles),
 ct AS (SELECT t.section_id, t.t, a.x0 ax, a.y0 ay, b.x0 bx, b.y0 bys, c.x0 cx, c.y0 cy, a.x adx, a.y ady, b.x bdx, b.y bdy, c.x cdx, c.y cdy FROM tris t
   JOIN mesh a ON a.section_id = t.section_id AND a.idx = t.i JOIN mesh b ON b.section_id = t.section_id AND b.idx = t.j JOIN mesh c ON c.section_id = t.section_id AND c.idx = t.k),
-dots AS (SELECT p.*, ct.* EXCLUDE (section_id), (bx - ax) * (bx - ax) + (bys - ay) * (bys - ay) d00, (bx - ax) * (cx - ax) + (bys - ay) * (cy - ay) d01, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) d11,
-  (x - ax) * (bx - ax) + (y - ay) * (bys - ay) d20, (x - ax) * (cx - ax) + (y - ay) * (cy - ay) d21
+met AS (SELECT p.*, ct.* EXCLUDE (section_id), (bx - ax) * (cy - ay) - (cx - ax) * (bys - ay) twice
   FROM pts p JOIN ct ON ct.section_id = p.section_id AND x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND y BETWEEN least(ay, bys, cy) AND greatest(ay, bys, cy)),
-bary AS (SELECT *, (d11 * d20 - d01 * d21) / (d00 * d11 - d01 * d01) v, (d00 * d21 - d01 * d20) / (d00 * d11 - d01 * d01) w FROM dots),
-hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id, point_id ORDER BY t) rn FROM bary WHERE 1 - v - w >= 0 AND v >= 0 AND w >= 0) WHERE rn = 1)"""
+bary AS (SELECT *, ((bx - x) * (cy - y) - (cx - x) * (bys - y)) / twice u, ((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / twice v, ((bx - ax) * (y - ay) - (x - ax) * (bys - ay)) / twice w FROM met),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id, point_id ORDER BY t) rn FROM bary WHERE u >= 0 AND v >= 0 AND w >= 0) WHERE rn = 1)"""
 
 
-@query(f"WITH {LOCATE} SELECT section_id, point_id, t, round(1 - v - w, 6) u, round(v, 6) v, round(w, 6) w FROM hit")
+@query(f"WITH {LOCATE} SELECT section_id, point_id, t, round(u, 6) u, round(v, 6) v, round(w, 6) w FROM hit")
 def point_in_triangle(spark, sf_dir):
     """J12, C17, C18, P8, F7."""
     points, triangles = ls.mesh(spark, sf_dir)
     return me.located(_points(spark, sf_dir), triangles, points, KEYS, 6000).select("section_id", "point_id", "t", *map(rounded, "uvw"))
 
 
-@query(f"WITH {LOCATE} SELECT section_id, point_id, round((1 - v - w) * adx + v * bdx + w * cdx, 4) x, round((1 - v - w) * ady + v * bdy + w * cdy, 4) y FROM hit")
+@query(f"WITH {LOCATE} SELECT section_id, point_id, round(u * adx + v * bdx + w * cdx, 4) x, round(u * ady + v * bdy + w * cdy, 4) y FROM hit")
 def elastic_transform(spark, sf_dir):
     """P9, C14, J13."""
     points, triangles = ls.mesh(spark, sf_dir)
@@ -415,7 +416,7 @@ def flipped_triangles(spark, sf_dir):
 
 @query()
 def elastic_mesh(spark, sf_dir):
-    """Meshes pulled towards links at the tiles."""
+    """Meshes pulled towards links at the tiles."""
     points, triangles = ls.mesh(spark, sf_dir)
     rest = points.select("section_id", "idx", "x0", "y0")
     located = me.located(_points(spark, sf_dir), triangles, points, KEYS, 6000)
@@ -496,10 +497,14 @@ def informative_rows(spark, sf_dir):
     return ag.informative(ls.scored(spark, sf_dir), F.col("good"), "n_chars").select("doc_id", "good")
 
 
-@query()
+DRAW = "CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {ls.SCORED}, n AS (SELECT count_if(good) p, count_if(NOT good) n FROM scored), k AS (SELECT *, least(p, n) few, greatest(p, n) many FROM n)
+SELECT doc_id, score, n_chars, good, toxic FROM scored, k WHERE few = 0 OR many <= 1.25 * few OR good <> (p > n) OR {DRAW.format(text="'42:' || doc_id")} >= (many - 1.25::DOUBLE * few + 1) / many""")
 def balance_sample(spark, sf_dir):
     """A27."""
-    return ag.balanced(ls.scored(spark, sf_dir), F.col("good"), 2.0)
+    return ag.balanced(ls.scored(spark, sf_dir), F.col("good"), 1.25, ["doc_id"])
 
 
 @query()
@@ -511,7 +516,7 @@ def affine_ransac(spark, sf_dir):
 
 @query()
 def rf_accept(spark, sf_dir):
-    """M3, M4, M5."""
+    """M3, M4."""
     rows = ls.scored(spark, sf_dir).select("doc_id", F.array("score", (F.col("n_chars") / 1000).cast("double"), (F.col("doc_id") % 7).cast("double")).alias("features"), F.col("good").cast("int").alias("label"))
     return learning.predict(learning.train_forest(rows), rows).select("doc_id", "label", "accepted")
 
@@ -551,14 +556,14 @@ def render_last(spark, sf_dir):
 
 @query("""SELECT page_id, regexp_extract(url, '^(?:[a-z]+://)?([^/]*)', 1) host, lpad(CAST(page_id % 1000 AS VARCHAR), CAST(greatest(6, length(CAST(page_id % 1000 AS VARCHAR))) AS INTEGER), '0') padded FROM pages""")
 def text_parts(spark, sf_dir):
-    """S8, S10, P22."""
+    """P22."""
     p = ls.read(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", r"^(?:[a-z]+://)?([^/]*)", 1).alias("host"), g.padded(F.col("page_id") % 1000, 6).alias("padded"))
 
 
 @query("SELECT user_id % 100 grp, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) total, count(*) n FROM events GROUP BY 1")
 def json_fields(spark, sf_dir):
-    """S6."""
+    """Numbers in a JSON column."""
     e = ls.read(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("grp"), F.from_json("props", "k long")["k"].alias("k"))
     return e.groupBy("grp").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
 
@@ -587,20 +592,20 @@ def geometry_scalars(spark, sf_dir):
     )
 
 
-@query(f"""WITH {ls.KEYPOINTS} SELECT tile_id, string_agg(CAST(kp AS VARCHAR) || ',' || CAST(CAST(trunc(response) AS BIGINT) AS VARCHAR), ';' ORDER BY kp, response) line FROM keypoints WHERE tile_id < 50 GROUP BY 1""")
+@query(f"""WITH {ls.KEYPOINTS} SELECT tile_id, string_agg(CAST(kp AS VARCHAR) || ',' || CAST(CAST(trunc(response) AS BIGINT) AS VARCHAR), ';' ORDER BY kp, response) line FROM keypoints GROUP BY 1""")
 def point_lines(spark, sf_dir):
     """C22."""
-    k = ls.keypoints(spark, sf_dir).where("tile_id < 50")
+    k = ls.keypoints(spark, sf_dir)
     return selection.joined_text(k, ["tile_id"], F.concat_ws(",", F.col("kp").cast("string"), F.col("response").cast("long").cast("string")), ["kp", "response"])
 
 
 @query("SELECT f num_features, o num_octaves, s AS scale FROM (SELECT unnest([1, 2, 4]) f), (SELECT unnest([5, 10, 15]) o), (SELECT unnest([2, 4, 6, 8, 10]) s)")
 def param_grid(spark, sf_dir):
-    """G8, M8."""
+    """G8."""
     return selection.grid_of_settings(spark, num_features=[1, 2, 4], num_octaves=[5, 10, 15], scale=[2, 4, 6, 8, 10])
 
 
-@query()
+@query(f"WITH {ls.TILES}, {ls.EDGES} SELECT * FROM edges ORDER BY {DRAW.format(text="concat_ws(':', '42', section_id, a, b)")}, section_id, a, b LIMIT 100")
 def sampled_pairs(spark, sf_dir):
     """G10, G11."""
     return selection.drawn(ls.edges(spark, sf_dir), 100, 42, ["section_id", "a", "b"])
@@ -608,7 +613,7 @@ def sampled_pairs(spark, sf_dir):
 
 @query()
 def aligned_tiles(spark, sf_dir):
-    """C1, C4, C5 and the alignment of sections as a whole."""
+    """C4, C5 and the alignment of sections as a whole."""
     from tessera.plans.pipelines import align_sections
 
     return align_sections(ls.tiles(spark, sf_dir), ls.edges(spark, sf_dir))

@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans.queries import QUERIES, SQL
+from tessera.plans.registry import load
 from tests.conftest import SF
 
+QUERIES, SQL = load()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
