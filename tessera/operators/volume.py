@@ -100,9 +100,9 @@ def elastic_matches(left: DataFrame, right: DataFrame, mesh: DataFrame, neighbou
     names = [*KEYS, "ix", "iy"]
     found = box_matches(boxes, left, right, **settings).withColumnsRenamed({"u": "dst_x", "v": "dst_y"})
     many = found.groupBy(*names).count().where(F.col("count") > LEAST_POINTS).select(*names)
-    points = found.join(many, names, "left_semi").withColumn("point_id", F.struct("ix", "iy", "a", "b"))
+    points, _ = written(found.join(many, names, "left_semi").withColumn("point_id", F.concat_ws(":", "ix", "iy", "a", "b")), "points")
     own = located(points, triangles, mesh, KEYS, cell, xy=("x", "y")).where("u > 0 AND v > 0 AND w > 0")
-    own = own.drop("ax", "ay", "bx", "by", "ex", "ey")
+    own, _ = written(own.drop("ax", "ay", "bx", "by", "ex", "ey"), "located")  # read several times
     place = own.select(*KEYS, "point_id", "x", "y", "dst_x", "dst_y")
     other = located(place, neighbour_triangles, neighbour_mesh, KEYS, cell)
     weights = g.barycentric(("dst_x", "dst_y"), ("ax", "ay"), ("bx", "by"), ("ex", "ey"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import mesh as me
 from tessera.operators import volume
+from tessera.operators.tables import written
 from tessera.plans import lenses as ls
 from tessera.plans.pipelines import coarse_affine
 from tessera.plans.registry import query
@@ -36,7 +37,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def meshes(points: DataFrame, deformed: bool = True) -> tuple[DataFrame, DataFrame]:
     grid = me.hex_grid(volume.extent_of_points(points), KEYS, 6000)
     x, y = (F.col("x") + F.col("idx") % 13, F.col("y") - F.col("idx") % 7) if deformed else (F.col("x"), F.col("y"))
-    return grid.select("section_id", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), x.alias("x"), y.alias("y")), me.hex_triangles(grid, KEYS)
+    points = grid.select("section_id", "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), x.alias("x"), y.alias("y"))
+    return written(points, "mesh")[0], written(me.hex_triangles(grid, KEYS), "triangles")[0]
 
 
 def _box_sql(size: int, step: int) -> str:
@@ -78,16 +80,13 @@ def fine_affine(spark, sf_dir):
     return rows.select("section_id", "n", *((F.round(c, 3 if c[0] == "t" else 5) + 0.0).alias(c) for c in volume.MODEL))  # no negative zeros
 
 
-CORNERS = "ax, ay, bx, bys, cx, cy"
-
-
 def _located_sql(name: str, points: str, mesh: str, x: str, y: str) -> str:
     """``name``: of each point its triangle of least number in the mesh's columns x, y."""
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id, ix, iy, a, b ORDER BY t) rn FROM (
+    return f"""{name}_at AS MATERIALIZED (FROM {points}), {name}_flat AS MATERIALIZED (SELECT t.section_id, t.t, a.{x} ax, a.{y} ay, b.{x} bx, b.{y} bys, c.{x} cx, c.{y} cy, (b.{x} - a.{x}) * (c.{y} - a.{y}) - (c.{x} - a.{x}) * (b.{y} - a.{y}) twice
+      FROM {mesh}_tris t JOIN {mesh} a ON a.section_id = t.section_id AND a.idx = t.i JOIN {mesh} b ON b.section_id = t.section_id AND b.idx = t.j JOIN {mesh} c ON c.section_id = t.section_id AND c.idx = t.k),
+    {name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section_id, ix, iy, a, b ORDER BY t) rn FROM (
       SELECT *, ((bx - x) * (cy - y) - (cx - x) * (bys - y)) / twice q1, ((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / twice q2, ((bx - ax) * (y - ay) - (x - ax) * (bys - ay)) / twice q3 FROM (
-        SELECT p.*, t.t, a.{x} ax, a.{y} ay, b.{x} bx, b.{y} bys, c.{x} cx, c.{y} cy, (b.{x} - a.{x}) * (c.{y} - a.{y}) - (c.{x} - a.{x}) * (b.{y} - a.{y}) twice FROM {points} p JOIN {mesh}_tris t ON t.section_id = p.section_id
-          JOIN {mesh} a ON a.section_id = t.section_id AND a.idx = t.i JOIN {mesh} b ON b.section_id = t.section_id AND b.idx = t.j JOIN {mesh} c ON c.section_id = t.section_id AND c.idx = t.k
-        WHERE p.x BETWEEN least(a.{x}, b.{x}, c.{x}) AND greatest(a.{x}, b.{x}, c.{x}) AND p.y BETWEEN least(a.{y}, b.{y}, c.{y}) AND greatest(a.{y}, b.{y}, c.{y})))
+        SELECT p.*, f.* EXCLUDE (section_id) FROM {name}_at p JOIN {name}_flat f ON f.section_id = p.section_id))
       WHERE q1 >= 0 AND q2 >= 0 AND q3 >= 0) WHERE rn = 1)"""
 
 
