@@ -138,6 +138,13 @@ def coarse_models(left: DataFrame, right: DataFrame, coarse, tries: int = 10) ->
     return models
 
 
+def _transformed(keypoints: DataFrame, triangles: DataFrame, mesh: DataFrame) -> DataFrame:
+    """C14: keypoints through the mesh's transform."""
+    places = keypoints.select(*KEYS, F.col("id").alias("point_id"), "x", "y")  # without v, which is a weight there
+    moved = elastic_transform(places, triangles, mesh, KEYS, 6000).select(*KEYS, F.col("point_id").alias("id"), "x", "y")
+    return moved.join(keypoints.select(*KEYS, "id", "v"), [*KEYS, "id"])
+
+
 def align_neighbours(left: DataFrame, right: DataFrame, mesh: DataFrame, triangles: DataFrame, neighbour_mesh: DataFrame, neighbour_triangles: DataFrame, coarse, *, turns: int = 2, descent: dict | None = None, **settings) -> DataFrame:
     """Each section's mesh aligned to its neighbour: coarse affine (C10) on the mesh (C13),
     then elastic matches (C9) and descent (I6), twice.  Returns the mesh: section_id, idx, x0, y0,
@@ -152,10 +159,11 @@ def align_neighbours(left: DataFrame, right: DataFrame, mesh: DataFrame, triangl
     placed = own_left.withColumns({"x": x, "y": y}).select(*KEYS, "id", "x", "y", "v")
     for turn in range(turns):
         # keypoints follow the mesh: in the first turn by the affine, then by the elastic transform
-        points = placed if turn == 0 else elastic_transform(left.withColumn("point_id", F.col("id")), triangles, own, KEYS, 6000).select(*KEYS, "id", "x", "y", "v")
+        points = placed if turn == 0 else _transformed(left, triangles, own)
+        points, points_at = written(points, "keypoints")  # read several times
         links = elastic_matches(points, right, own, neighbour_mesh, triangles, neighbour_triangles, **settings)
         after, now = written(elastic_meshes(own, triangles, links, KEYS, **(descent or {})).drop("settled"), "mesh")
-        delete(spark, at)
+        delete(spark, at, points_at)
         own, at = after, now
     return own
 
