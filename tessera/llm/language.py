@@ -36,6 +36,8 @@ SAMPLE_WINDOWS = 4
 SAMPLE_BYTES = 128
 #: So many times the sample is drawn by hash before it is ordered.
 SPARE = 4
+#: Languages whose shares are broadcast.
+MOST_LANGUAGES = 10_000
 EPOCHS = 4
 BATCH = 32
 UNKNOWN = "und"
@@ -80,6 +82,32 @@ class Network:
             states[t] = h
         return states, tape
 
+    def states(self, x: np.ndarray, direction: str) -> np.ndarray:
+        """The states of ``read``, without a tape and in buffers that are used again."""
+        g, u, n = self.p[f"g{direction}"], self.p[f"u{direction}"], self.hidden
+        columns = np.ascontiguousarray(x.T)
+        out = np.empty((len(columns), len(x), n), g.dtype)
+        a, s = np.empty((len(x), 3 * n), g.dtype), np.empty((len(x), 3 * n), g.dtype)
+        gates, new, h = np.empty((len(x), 2 * n), g.dtype), np.empty((len(x), n), g.dtype), np.zeros((len(x), n), g.dtype)
+        z, r = gates[:, :n], gates[:, n:]
+        negative = g * np.repeat(np.array([-1, -1, 1], g.dtype), n)
+        turned = u * np.repeat(np.array([-1, -1, 1], u.dtype), n)  # gates come out negated, as exp wants them
+        for t in range(len(columns)) if direction == "f" else range(len(columns) - 1, -1, -1):
+            np.take(negative, columns[t], axis=0, out=a, mode="clip")
+            np.matmul(h, turned, out=s)
+            np.add(a[:, : 2 * n], s[:, : 2 * n], out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(s[:, 2 * n :], r, out=new)
+            new += a[:, 2 * n :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= z
+            h += new
+            out[t] = h
+        return out
+
     def labelled(self, both: np.ndarray) -> np.ndarray:
         scores = both @ self.p["v"] + self.p["c"]
         scores = np.exp(scores - scores.max(-1, keepdims=True))
@@ -167,10 +195,14 @@ def document_means(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nd
         place = start[which, None] - AROUND + np.arange(most + 2 * AROUND)
         inside = (place >= offsets[:-1][doc[which], None]) & (place < offsets[1:][doc[which], None])
         x = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(SPACE))
-        states = [net.read(x, d)[0][AROUND : AROUND + most] for d in "fb"]
-        p = net.labelled(np.concatenate(states, 2))
-        p *= (np.arange(most)[:, None] < size[which])[:, :, None]
-        np.add.at(total, doc[which], p.sum(0))
+        states = [net.states(x, d)[AROUND : AROUND + most].reshape(-1, net.hidden) for d in "fb"]
+        p = sum(v.T @ s.T for v, s in zip(np.split(net.p["v"], 2), states)) + net.p["c"][:, None]  # classes x positions
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p /= p.sum(0)
+        p = p.reshape(-1, most, len(which))
+        p *= np.arange(most)[:, None] < size[which]
+        np.add.at(total, doc[which], p.sum(1).T)
     return total / np.maximum(lengths, 1)[:, None]
 
 
@@ -185,7 +217,8 @@ def fit(docs: DataFrame, *, docs_a_language: int = SAMPLE_DOCS, windows_a_docume
     use = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = use.groupBy("lang").count()  # a row for each language
     share = counts.select(F.col("lang").alias("l"), (F.lit(SPARE * docs_a_language) / F.col("count")).alias("share"))
-    few = use.join(share, use.lang == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("doc_id", "lang", "text")
+    # broadcast where the rows, one for each language, are few enough; texts aren't shuffled then
+    few = use.join(F.broadcast(share) if counts.count() <= MOST_LANGUAGES else share, use.lang == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
