@@ -89,7 +89,8 @@ def test_defined_cases(spark):
     rows = [(1, None, "en"), (2, "", None), (3, "123 !", "de"), (None, "the words", "en"), (5, "x" * 500, "en"), (6, "über die", "de"), (8, "of and the", "en"), (9, "ein Wort " * 20_000, "de"), (9, "ein Wort " * 20_000, "de")]
     frame = spark.createDataFrame([(*r, 9, [b"w"]) for r in rows], "doc_id long, text string, lang string, place int, windows array<binary>")
     assert len(language.identify(frame).collect()) == len(rows)
-    only_long = language.fit(frame.where("doc_id = 9 OR doc_id = 8").withColumn("doc_id", frame.doc_id + 100))  # no document is too long to learn from
+    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in (103, 104))
+    only_long = language.fit(frame.where("doc_id = 9 OR doc_id = 8").withColumn("doc_id", frame.doc_id + 95))  # no document is too long to learn from
     assert only_long[1] == ["de", "en"]
     got = {r.doc_id: r for r in language.identify(frame).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[None].held_out
