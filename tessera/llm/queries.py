@@ -12,6 +12,7 @@ from .centroids import cluster_vectors
 from .common import recorded, release, table
 from .filter_audit import audit
 from .language import identify
+from .lm_scoring import score_texts
 from .media import fingerprint_media
 from .neighbours import nearest_neighbours
 from .packing import pack
@@ -62,6 +63,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroids": op13_centroids,
 }
