@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -261,3 +261,67 @@ def border_settled(mesh: DataFrame, triangles: DataFrame, keys: Sequence[str], *
     types = {f.name: f.dataType for f in mesh.schema}
     links = none.select(*(F.lit(None).cast(types[k]).alias(k) for k in keys), *none.columns)
     return elastic_meshes(mesh, triangles, links, keys, grow=1.1, cut=0.5, **settings)
+
+
+def _lattice_index(r, c) -> Column:
+    """Index of a lattice place: an old point's own, then the new ones row by row."""
+    cols, rows = F.col("cols"), F.col("rows")
+    place = (r + F.col("up")) * (cols + F.col("left") + F.col("right")) + c + F.col("left")
+    before = F.when(r < 0, F.lit(0)).when(r >= rows, rows * cols).otherwise(r * cols + F.least(F.greatest(c, F.lit(0)), cols))
+    old = (r >= 0) & (r < rows) & (c >= 0) & (c < cols)
+    return F.when(old, r * cols + c).otherwise(rows * cols + place - before)
+
+
+def border_extension(grid: DataFrame, box: DataFrame, keys: Sequence[str], spacing: float) -> tuple[DataFrame, DataFrame]:
+    """The points and triangles that a hexagonal grid (as from ``hex_grid``) lacks to cover a larger
+    ``box`` of each key: at least a column and two rows on every side.
+
+    Points carry on the grid's lattice and are numbered after the old ones, row by row; triangles are
+    those of the larger lattice that have a new corner, numbered after the old ones too, so none stands
+    twice and no old index changes.  All is in closed form, without a join to the old mesh.  Returns
+    points (keys, idx, x, y) and triangles (keys, t, i, j, k)."""
+    rise = spacing * 0.75
+    whole = grid.groupBy(*keys).agg(F.max("cols").alias("cols"), F.max("rows").alias("rows"), F.min("x").alias("ox"), F.min("y").alias("oy"))
+    high, low = F.col("oy") + (F.col("rows") - 1) * rise, F.col("oy")
+    wide = F.col("ox") + (F.col("cols") - 1) * spacing
+
+    def more(apart, step: float, least: int):
+        return F.greatest(F.ceil(apart / step).cast("long"), F.lit(least).cast("long"))
+
+    own = whole.join(box.select(*keys, *BOX), list(keys)).withColumns(
+        {"left": more(F.col("ox") - F.col(BOX[0]), spacing, 1), "right": more(F.col(BOX[1]) - wide, spacing, 1), "up": more(low - F.col(BOX[2]), rise, 2), "down": more(F.col(BOX[3]) - high, rise, 2)}
+    )
+    r, c = F.col("r"), F.col("c")
+    places = own.withColumn("r", F.explode(F.sequence(-F.col("up"), F.col("rows") - 1 + F.col("down")))).withColumn("c", F.explode(F.sequence(-F.col("left"), F.col("cols") - 1 + F.col("right"))))
+    odd = F.pmod(r, F.lit(2)) == 1
+    new = (r < 0) | (r >= F.col("rows")) | (c < 0) | (c >= F.col("cols"))
+    x = F.col("ox") + c * spacing + F.when(odd, spacing / 2).otherwise(0.0)
+    points = places.where(new).select(*keys, _lattice_index(r, c).alias("idx"), x.alias("x"), (F.col("oy") + r * rise).alias("y"))
+
+    inner = places.where((r < F.col("rows") - 1 + F.col("down")) & (c < F.col("cols") - 1 + F.col("right")))
+    at = {(i, j): _lattice_index(r + i, c + j) for i in (0, 1) for j in (0, 1)}
+    up = F.when(odd, F.array(at[0, 0], at[0, 1], at[1, 1])).otherwise(F.array(at[0, 0], at[0, 1], at[1, 0]))
+    down = F.when(odd, F.array(at[0, 0], at[1, 1], at[1, 0])).otherwise(F.array(at[0, 1], at[1, 1], at[1, 0]))
+    both = inner.select(*keys, "rows", "cols", ((r + F.col("up")) * (F.col("cols") + F.col("left") + F.col("right")) + c + F.col("left")).alias("place"), F.posexplode(F.array(up, down)).alias("side", "p"))
+    number = 2 * F.col("rows") * F.col("cols") + 2 * F.col("place") + F.col("side")
+    fresh = both.where(F.array_max("p") >= F.col("rows") * F.col("cols"))
+    return points, fresh.select(*keys, number.alias("t"), F.col("p")[0].alias("i"), F.col("p")[1].alias("j"), F.col("p")[2].alias("k"))
+
+
+def expanded_mesh(mesh: DataFrame, triangles: DataFrame, grid: DataFrame, box: DataFrame, keys: Sequence[str], spacing: float, models: DataFrame | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+    """A mesh carried on over a larger box: G7's points go where the section's affine (``models``:
+    keys and the six numbers; none: where they are) takes them, and settle by I8, old points held.
+    Returns the whole mesh (keys, idx, x0, y0, x, y, settled) and its triangles."""
+    names = list(keys)
+    points, fresh = border_extension(grid, box, keys, spacing)
+    model = ("a00", "a01", "tx", "a10", "a11", "ty")
+    moved = points.withColumns({c: F.lit(v) for c, v in zip(model, g.IDENTITY)}) if models is None else points.join(models.select(*names, *model), names, "left").fillna(dict(zip(model, g.IDENTITY)))
+    x, y = g.affine("x", "y", model)
+    added = moved.select(*names, "idx", F.col("x").alias("x0"), F.col("y").alias("y0"), x.alias("x"), y.alias("y"), F.lit(True).alias("free"))
+    whole = mesh.select(*names, "idx", "x0", "y0", "x", "y", F.lit(False).alias("free")).unionByName(added)
+    faces = triangles.select(*names, "t", "i", "j", "k").unionByName(fresh)
+    whole, whole_at = written(whole, "expanded")
+    faces, _ = written(faces, "faces")
+    out = border_settled(whole, faces, keys, **settings)
+    delete(mesh.sparkSession, whole_at)
+    return out, faces

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -37,7 +37,8 @@ def box_join(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float
     owner_x = cell_of(F.greatest(F.col(f"a.{left_box[0]}"), F.col(f"b.{right_box[0]}")), cell)
     owner_y = cell_of(F.greatest(F.col(f"a.{left_box[2]}"), F.col(f"b.{right_box[2]}")), cell)
     joined = a.join(b, on).where((F.col("a.cx") == owner_x) & (F.col("a.cy") == owner_y))
-    return joined if condition is None else joined.where(condition)
+    left_, right_ = sides(left_box, right_box)
+    return joined.where(g.meets_box(left_, right_) if condition is None else condition)
 
 
 def sides(left_box=BOX, right_box=BOX) -> tuple[list[str], list[str]]:
@@ -94,3 +95,21 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, keys: Sequence[
     best = met.where(inside).groupBy(*keys, "point_id").agg(F.min(F.struct("t", "u", "v", "w", "ax", "ay", "bx", "by", "ex", "ey")).alias("hit"))
     hit = best.select(*keys, "point_id", "hit.*")
     return points.join(hit, [*keys, "point_id"], "left" if outer else "inner")
+
+
+def sampled_boxes(sections: DataFrame, area: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """``n`` drawn boxes of ``size`` inside the first section's extent, each in a drawn section and in
+    the one after it: i, side (1, 2), section_id, box.  Draws are hashes of the box's number (``draw``).
+
+    Sections: section_id; area: the extent of each (section_id, box).  With one section, or an extent no
+    larger than a box, there is none.  The window numbers the sections, not the tiles."""
+    ranked = sections.select("section_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("section_id")).cast("long") - 1)
+    head = area.orderBy("section_id").limit(1).select(F.floor(F.col(BOX[1]) - size).cast("long").alias("wide"), F.floor(F.col(BOX[3]) - size).cast("long").alias("high"))
+    count = ranked.agg((F.count("*") - 1).alias("steps"))
+    room = F.broadcast(head.join(count).where("wide > 0 AND high > 0 AND steps > 0"))  # one row
+    i = F.col("i")
+    at = lambda what, most: F.floor(g.draw(seed, i, F.lit(what)) * F.col(most)).cast("long")
+    drawn = sections.sparkSession.range(n).select(F.col("id").alias("i")).join(room).select("i", at("section", "steps").alias("first"), at("x", "wide").cast("double").alias("x"), at("y", "high").cast("double").alias("y"))
+    both = drawn.withColumn("side", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("place", F.col("first") + F.col("side") - 1)
+    x, y = F.col("x"), F.col("y")
+    return both.join(ranked, "place").select("i", "side", "section_id", x.alias(BOX[0]), (x + size).alias(BOX[1]), y.alias(BOX[2]), (y + size).alias(BOX[3]))

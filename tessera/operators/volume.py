@@ -130,8 +130,6 @@ def coarse_models(left: DataFrame, right: DataFrame, coarse, tries: int = 10) ->
             break
         found, path = written(coarse(*rest, list(KEYS), seed=seed).where("a00 IS NOT NULL").select(*KEYS, *MODEL), "coarse")
         paths.append(path)
-        if seed > 1 and not found.take(1):
-            break  # other draws find nothing either
         done = found if done is None else done.unionByName(found)
     models, _ = written(done, "coarse")
     delete(spark, *paths)
@@ -146,7 +144,7 @@ def _transformed(keypoints: DataFrame, triangles: DataFrame, mesh: DataFrame) ->
 
 
 def align_neighbours(left: DataFrame, right: DataFrame, mesh: DataFrame, triangles: DataFrame, neighbour_mesh: DataFrame, neighbour_triangles: DataFrame, coarse, *, turns: int = 2, descent: dict | None = None, **settings) -> DataFrame:
-    """Each section's mesh aligned to its neighbour: coarse affine (C10) on the mesh (C13),
+    """Each section's mesh aligned to its neighbour (keypoints with tile_id): coarse affine (C10) on the mesh (C13),
     then elastic matches (C9) and descent (I6), twice.  Returns the mesh: section_id, idx, x0, y0,
     x, y; sections that find no matches keep the mesh they have."""
     spark = mesh.sparkSession

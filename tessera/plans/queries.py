@@ -147,7 +147,7 @@ s AS (SELECT pair, k, count(*) total, count_if(dx % 10 < 2 * k) support FROM mat
 ok AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY k) rn FROM s WHERE support >= 5 AND support > total * 0.1)
 SELECT pair, CAST(k AS INTEGER) k, support, total FROM ok WHERE rn = 1""")
 def multi_ratio_pick(spark, sf_dir):
-    """The first of four ratios whose matches are enough."""
+    """of four numbered attempts at each pair the first that is enough."""
     tried = ls.matches(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))))
     counts = tried.groupBy("pair", "k").agg(F.count("*").alias("total"), F.count_if(F.col("dx") % 10 < 2 * F.col("k")).alias("support"))
     return matching.first_acceptable(counts, ["pair"], "k", matching.acceptable("support", "total", share=0.1, strict=True)).select("pair", "k", "support", "total")
@@ -424,6 +424,53 @@ def elastic_mesh(spark, sf_dir):
     return me.elastic_meshes(rest, triangles, links, KEYS)
 
 
+#: How far the box of the extension queries goes beyond the tiles: left, right, up, down.
+BEYOND = (30_000, 41_000, 20_000, 29_000)
+
+
+def _border_sql() -> str:
+    left, right, up, down = BEYOND
+    number = lambda r, c: f"(CASE WHEN {r} >= 0 AND {r} < nr AND {c} >= 0 AND {c} < nc THEN {r} * nc + {c} ELSE nr * nc + ({r} + u) * (nc + l + w) + {c} + l - CASE WHEN {r} < 0 THEN 0 WHEN {r} >= nr THEN nr * nc ELSE {r} * nc + least(greatest({c}, 0), nc) END END)"
+    more = lambda apart, step, least: f"greatest(CAST(ceil(({apart}) / {step}.0::DOUBLE) AS BIGINT), {least})"
+    return f"""WITH {ls.TILES}, {ls.MESH}, o AS (SELECT section_id, max(nc) nc, max(nr) nr, min(x) ox, min(y) oy FROM grid GROUP BY 1),
+e AS (SELECT o.*, {more(f"ox - (x0 - {left})", 6000, 1)} l, {more(f"x1 + {right} - (ox + (nc - 1) * 6000)", 6000, 1)} w, {more(f"oy - (y0 - {up})", 4500, 2)} u, {more(f"y1 + {down} - (oy + (nr - 1) * 4500)", 4500, 2)} d
+  FROM o JOIN ext ON ext.section_id = o.section_id),
+p AS (SELECT e.*, r, c, ((r % 2) + 2) % 2 = 1 odd FROM e, range(-u, nr + d) a(r), range(-l, nc + w) b(c)),
+border AS (SELECT section_id, {number("r", "c")} idx, ox + c * 6000 + CASE WHEN odd THEN 3000 ELSE 0 END x, oy + r * 4500 y FROM p WHERE r < 0 OR r >= nr OR c < 0 OR c >= nc),
+q AS (SELECT *, {number("r", "c")} a00, {number("r", "(c + 1)")} a01, {number("(r + 1)", "c")} a10, {number("(r + 1)", "(c + 1)")} a11, (r + u) * (nc + l + w) + c + l place FROM p WHERE r < nr - 1 + d AND c < nc - 1 + w),
+faces AS (SELECT section_id, nr * nc n, 2 * nr * nc + 2 * place t, a00 i, a01 j, CASE WHEN odd THEN a11 ELSE a10 END k FROM q
+  UNION ALL SELECT section_id, nr * nc, 2 * nr * nc + 2 * place + 1, CASE WHEN odd THEN a00 ELSE a01 END, a11, a10 FROM q)"""
+
+
+def _border(spark, sf_dir):
+    extent = ag.extent(ls.tiles(spark, sf_dir), KEYS)
+    grid = me.hex_grid(extent, KEYS, 6000)
+    left, right, up, down = BEYOND
+    box = extent.select("section_id", *((F.col(c) + v).alias(c) for c, v in zip(spatial.BOX, (-left, right, -up, down))))
+    return grid, box
+
+
+@query(f"{_border_sql()} SELECT section_id, idx, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM border")
+def border_points(spark, sf_dir):
+    """New points of meshes that are carried on over larger boxes."""
+    return me.border_extension(*_border(spark, sf_dir), KEYS, 6000)[0]
+
+
+@query(f"{_border_sql()} SELECT section_id, t, i, j, k FROM faces WHERE greatest(i, j, k) >= n")
+def border_triangles(spark, sf_dir):
+    """New triangles, none of which stands in the old mesh."""
+    return me.border_extension(*_border(spark, sf_dir), KEYS, 6000)[1]
+
+
+@query()
+def expanded_meshes(spark, sf_dir):
+    """Meshes carried on over larger boxes, new points at rest beside the old ones."""
+    grid, box = _border(spark, sf_dir)
+    points, triangles = ls.mesh(spark, sf_dir)
+    models = box.select("section_id", F.lit(1.001).alias("a00"), F.lit(0.0).alias("a01"), (F.col("section_id") * 10.0).alias("tx"), F.lit(0.0).alias("a10"), F.lit(0.999).alias("a11"), F.lit(-5.0).alias("ty"))
+    return me.expanded_mesh(points, triangles, grid, box, KEYS, 6000, models)[0]
+
+
 @query(f"""WITH {ls.TILES}, s AS (SELECT section_id, count(*) n FROM tiles GROUP BY 1) SELECT a.section_id, a.n, b.n previous_n FROM s a LEFT JOIN s b ON b.section_id = a.section_id - 1""")
 def section_lag(spark, sf_dir):
     """J18, A30."""
@@ -507,11 +554,36 @@ def balance_sample(spark, sf_dir):
     return ag.balanced(ls.scored(spark, sf_dir), F.col("good"), 1.25, ["doc_id"])
 
 
-@query()
+def _affine_ransac_sql(threshold: float, trials: int = 4603, all_up_to: int = 31) -> str:
+    """All triples of up to ``all_up_to`` points, drawn ones of more; each fitted and scored."""
+    part = lambda k: DRAW.format(text=f"concat_ws(':', '1', t, '{k}')")
+    fitted = lambda k: f"((b.{k} - a.{k}) * (c.y - a.y) - (c.{k} - a.{k}) * (b.y - a.y)) / det {k}x, ((b.x - a.x) * (c.{k} - a.{k}) - (c.x - a.x) * (b.{k} - a.{k})) / det {k}y"
+    return f"""WITH {ls.MATCHES}, o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY pair ORDER BY x, y, u, v) - 1 p, count(*) OVER (PARTITION BY pair) n
+  FROM (SELECT pair, dx::DOUBLE x, dy::DOUBLE y, (dx * 2 + ord % 3)::DOUBLE u, (dy - dx)::DOUBLE v FROM matches)),
+sizes AS (SELECT DISTINCT n FROM o),
+few AS (SELECT n, row_number() OVER (PARTITION BY n ORDER BY i, j, k) - 1 t, i, j, k FROM sizes, range(0, n) a(i), range(i + 1, n) b(j), range(j + 1, n) c(k) WHERE n <= {all_up_to}),
+f AS (SELECT t, {part(0)} f0, {part(1)} f1, {part(2)} f2 FROM range(0, {trials}) r(t)),
+d1 AS (SELECT n, t, CAST(floor(f0 * n) AS BIGINT) i, CAST(floor(f1 * (n - 1)) AS BIGINT) j, CAST(floor(f2 * (n - 2)) AS BIGINT) k FROM sizes, f WHERE n > {all_up_to}),
+d2 AS (SELECT n, t, i, j + CAST(j >= i AS BIGINT) j, k FROM d1),
+d3 AS (SELECT n, t, i, j, k + CAST(k >= least(i, j) AS BIGINT) k FROM d2),
+triples AS MATERIALIZED (FROM few UNION ALL SELECT n, t, i, j, k + CAST(k >= greatest(i, j) AS BIGINT) k FROM d3),
+three AS (SELECT a.pair, a.n, t.t, a.x ax, a.y ay, a.u au, a.v av, (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) det, {fitted("u")}, {fitted("v")}
+  FROM triples t JOIN o a ON a.n = t.n AND a.p = t.i JOIN o b ON b.pair = a.pair AND b.p = t.j JOIN o c ON c.pair = a.pair AND c.p = t.k),
+models AS (SELECT pair, n, t, ux, uy, au - ux * ax - uy * ay ut, vx, vy, av - vx * ax - vy * ay vt FROM three WHERE det * det > 1e-9::DOUBLE),
+scores AS (SELECT m.pair, m.n, m.t, any_value(ux) ux, any_value(uy) uy, any_value(ut) ut, any_value(vx) vx, any_value(vy) vy, any_value(vt) vt,
+    count_if((ux * x + uy * y + ut - u) * (ux * x + uy * y + ut - u) + (vx * x + vy * y + vt - v) * (vx * x + vy * y + vt - v) <= {threshold * threshold}::DOUBLE) s
+  FROM models m JOIN o ON o.pair = m.pair GROUP BY m.pair, m.n, m.t)
+SELECT pair, t::INTEGER trial, s inliers, n total, round(ux, 6) + 0 a00, round(uy, 6) + 0 a01, round(ut, 6) + 0 tx, round(vx, 6) + 0 a10, round(vy, 6) + 0 a11, round(vt, 6) + 0 ty
+FROM scores QUALIFY row_number() OVER (PARTITION BY pair ORDER BY s DESC, t) = 1"""
+
+
+@query(_affine_ransac_sql(2.0))
 def affine_ransac(spark, sf_dir):
     """A6."""
     m = ls.matches(spark, sf_dir).select("pair", F.col("dx").alias("x"), F.col("dy").alias("y"), (F.col("dx") * 2 + F.col("ord") % 3).alias("u"), (F.col("dy") - F.col("dx")).alias("v"))
-    return matching.affine_consensus(m, ["pair"], 2.0)
+    found = matching.affine_consensus(m, ["pair"], 2.0)
+    return found.select("pair", "trial", "inliers", "total", *((F.round(c, 6) + 0.0).alias(c) for c in matching.MODEL))
 
 
 @query()
@@ -607,10 +679,24 @@ def param_grid(spark, sf_dir):
 
 @query(f"WITH {ls.TILES}, {ls.EDGES} SELECT * FROM edges ORDER BY {DRAW.format(text="concat_ws(':', '42', section_id, a, b)")}, section_id, a, b LIMIT 100")
 def sampled_pairs(spark, sf_dir):
-    """G10, G11."""
+    """G10."""
     return selection.drawn(ls.edges(spark, sf_dir), 100, 42, ["section_id", "a", "b"])
 
 
+@query(f"""WITH {ls.TILES}, s AS (SELECT section_id, row_number() OVER (ORDER BY section_id) - 1 place FROM (SELECT DISTINCT section_id FROM tiles)),
+room AS (SELECT floor(max(x_finish) - 9000) wide, floor(max(y_finish) - 9000) high, (SELECT count(*) - 1 FROM s) steps FROM tiles WHERE section_id = (SELECT min(section_id) FROM tiles)),
+b AS (SELECT i, floor({DRAW.format(text="concat_ws(':', '7', i, 'section')")} * steps) first, floor({DRAW.format(text="concat_ws(':', '7', i, 'x')")} * wide) x, floor({DRAW.format(text="concat_ws(':', '7', i, 'y')")} * high) y FROM range(0, 60) r(i), room),
+boxes AS (SELECT i, side, section_id, x, y FROM b, (SELECT unnest([1, 2]) side) k, s WHERE s.place = first + side - 1)
+SELECT i, CAST(side AS INTEGER) side, b.section_id, x x_start, y y_start, count(t.tile_id) tiles FROM boxes b LEFT JOIN tiles t ON t.section_id = b.section_id AND t.x_start < x + 9000 AND t.x_finish > x AND t.y_start < y + 9000 AND t.y_finish > y GROUP BY ALL""")
+def sampled_boxes(spark, sf_dir):
+    """Drawn boxes of the stack, in a section and the next, and how many tiles each shows."""
+    t = ls.tiles(spark, sf_dir)
+    boxes = spatial.sampled_boxes(t, ag.extent(t, KEYS), 60, 9000, 7)
+    a, b = spatial.sides()
+    met = spatial.box_join(boxes, t, KEYS, 9000, condition=g.overlaps(a, b)).groupBy("a.i", "a.side").agg(F.count("*").alias("tiles"))
+    return boxes.join(met, ["i", "side"], "left").select("i", "side", "section_id", "x_start", "y_start", F.coalesce("tiles", F.lit(0)).alias("tiles"))
+
+
 @query()
 def aligned_tiles(spark, sf_dir):
     """C4, C5 and the alignment of sections as a whole."""

@@ -22,6 +22,6 @@ def query(sql: str | None = None):
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """All queries and their SQL."""
-    from tessera.plans import queries, section_queries, source_queries  # noqa: F401
+    from tessera.plans import image_queries, queries, section_queries, source_queries  # noqa: F401
 
     return QUERIES, SQL

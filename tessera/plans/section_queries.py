@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import mesh as me
-from tessera.operators import volume
+from tessera.operators import matching, volume
 from tessera.operators.tables import written
 from tessera.plans import lenses as ls
-from tessera.plans.pipelines import coarse_affine
+from tessera.plans.pipelines import coarse_affine, coarse_matches
 from tessera.plans.registry import query
 
 KEYS = ["section_id"]
 SECTIONS = 3
 
 
+#: Tiles of a section, and responses of their points as shares of the tile's strongest.
+TILES = 5
+SHARES = (1.0, 0.995, 0.98)
+
+
 def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """section_id, id, x, y, v, response: every vector in three sections, each a step from the one
-    before; every tenth point of the middle one is out of place."""
+    """section_id, tile_id, id, x, y, v, response: every vector in three sections, each a step from the
+    one before; every tenth point of the middle one is out of place.  Each tile's strongest response is
+    its own: tenfold from one tile to the next."""
     e = ls.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     e = e.withColumn("section_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECTIONS - 1).cast("long"))))
     s, i = F.col("section_id"), F.col("id")
     off = F.when((i % 10 == 0) & (s % 2 == 1), 3000).otherwise(0)
     x, y = (i * 7919) % 20011 + s * (120 + i % 5) + off, (i * 104729) % 20011 - s * (80 - i % 3)
-    return e.select("section_id", "id", x.cast("double").alias("x"), y.cast("double").alias("y"), "v", F.lit(1.0).alias("response"))
+    tile = i % TILES
+    share = F.element_at(F.array(*map(F.lit, SHARES)), (F.floor(i / TILES) % len(SHARES) + 1).cast("int"))
+    return e.select("section_id", "id", x.cast("double").alias("x"), y.cast("double").alias("y"), "v", tile.alias("tile_id"), (F.pow(F.lit(10.0), tile) * share).alias("response"))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +86,29 @@ def fine_affine(spark, sf_dir):
     return rows.select("section_id", "n", *((F.round(c, 3 if c[0] == "t" else 5) + 0.0).alias(c) for c in volume.MODEL))  # no negative zeros
 
 
+COARSE = f"""kp AS (SELECT CAST(s AS BIGINT) section_id, vec_id id, CAST((vec_id * 7919) % 20011 + s * (120 + vec_id % 5) + CASE WHEN vec_id % 10 = 0 AND s % 2 = 1 THEN 3000 ELSE 0 END AS DOUBLE) x,
+    CAST((vec_id * 104729) % 20011 - s * (80 - vec_id % 3) AS DOUBLE) y, embedding v, vec_id % {TILES} tile, pow(10.0::DOUBLE, vec_id % {TILES}) * {list(SHARES)}[vec_id // {TILES} % {len(SHARES)} + 1]::DOUBLE response
+    FROM embeddings, range(0, {SECTIONS}) t(s)),
+  strong AS (SELECT * FROM kp QUALIFY response >= 0.99::DOUBLE * max(response) OVER (PARTITION BY section_id, tile)),
+  d AS (SELECT a.section_id, a.id a, b.id b, a.x, a.y, b.x u, b.y w, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) d
+    FROM strong a JOIN strong b ON b.section_id = a.section_id - 1),
+  good AS (SELECT section_id, a, x, y, f[1].b b, f[1].u u, f[1].w w FROM (SELECT section_id, a, x, y, list({{'d': d, 'b': b, 'u': u, 'w': w}} ORDER BY d, b)[1:2] f FROM d GROUP BY ALL) WHERE len(f) = 2 AND f[1].d < 0.92::DOUBLE * f[2].d),
+  found AS (SELECT * FROM good WHERE sqrt(pow(x - 122 - u, 2) + pow(y + 79 - w, 2)) <= 64 QUALIFY count(*) OVER (PARTITION BY section_id) >= 32)"""
+
+
+@query(f"""WITH {COARSE},
+s AS (SELECT section_id, count(*) n, CAST(sum(a) AS BIGINT) ids, avg(x) mx, avg(y) my, avg(u) mu, avg(w) mw, var_pop(x) xx, var_pop(y) yy, covar_pop(x, y) xy, covar_pop(x, u) xu, covar_pop(y, u) yu, covar_pop(x, w) xw, covar_pop(y, w) yw FROM found GROUP BY 1),
+m AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) a00, (yu * xx - xu * xy) / (xx * yy - xy * xy) a01, (xw * yy - yw * xy) / (xx * yy - xy * xy) a10, (yw * xx - xw * xy) / (xx * yy - xy * xy) a11 FROM s)
+SELECT section_id, n, ids, round(a00, 5) + 0 a00, round(a01, 5) + 0 a01, round(mu - a00 * mx - a01 * my, 3) + 0 tx, round(a10, 5) + 0 a10, round(a11, 5) + 0 a11, round(mw - a10 * mx - a11 * my, 3) + 0 ty FROM m""")
+def coarse_alignment(spark, sf_dir):
+    """What passes the strongest keypoints of each tile and both consensuses, and the affine."""
+    k = keypoints(spark, sf_dir)
+    found = coarse_matches(k.where("section_id > 0"), volume.to_neighbour(k.where(F.col("section_id") < SECTIONS - 1)), KEYS)
+    ids = found.groupBy(*KEYS).agg(F.sum("a").alias("ids"))
+    rows = matching.fit_affine(found, KEYS).join(ids, KEYS)
+    return rows.select("section_id", "n", "ids", *((F.round(c, 3 if c[0] == "t" else 5) + 0.0).alias(c) for c in volume.MODEL))
+
+
 def _located_sql(name: str, points: str, mesh: str, x: str, y: str) -> str:
     """``name``: of each point its triangle of least number in the mesh's columns x, y."""
     return f"""{name}_at AS MATERIALIZED (FROM {points}), {name}_flat AS MATERIALIZED (SELECT t.section_id, t.t, a.{x} ax, a.{y} ay, b.{x} bx, b.{y} bys, c.{x} cx, c.{y} cy, (b.{x} - a.{x}) * (c.{y} - a.{y}) - (c.{x} - a.{x}) * (b.{y} - a.{y}) twice
@@ -118,5 +147,5 @@ def aligned_sections(spark, sf_dir):
     """The sections' meshes aligned to their neighbours, and the chain of them."""
     left, right = _sides(spark, sf_dir)
     (mesh, triangles), (other, other_triangles) = meshes(left, False), meshes(right, False)
-    own = volume.align_neighbours(left, right, mesh, triangles, other, other_triangles, partial(coarse_affine, least=volume.LEAST_POINTS))
+    own = volume.align_neighbours(left, right, mesh, triangles, other, other_triangles, coarse_affine)
     return volume.chained(own, triangles, range(1, SECTIONS))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators import aggregates as ag
-from tessera.operators import learning, matching, selection, spatial
+from tessera.operators import learning, matching, selection, setting_state, spatial
 from tessera.operators.tables import shared_dir
 from tessera.plans import lenses as ls
 from tessera.plans.registry import query
+from tessera.sources import files, messages
 from tessera.sources import tilespecs as ts
 
 
 def _place(spark, name: str) -> str:
-    """A folder that each run of the query writes anew."""
-    return f"{shared_dir(spark)}/formats/{name}"
+    """A folder of this run's own, gone when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def _tiles(spark, sf_dir):
@@ -122,7 +128,7 @@ def stored_settings(spark, sf_dir):
 
 @query(f"WITH {ls.SCORED} SELECT doc_id, true same FROM scored")
 def stored_model(spark, sf_dir):
-    """A forest and its rows kept and read, with the same predictions."""
+    """A forest and its rows kept and read, with the same predictions."""
     path = _place(spark, "model")
     rows = ls.scored(spark, sf_dir).select("doc_id", F.array("score", (F.col("n_chars") / 1000).cast("double")).alias("features"), F.col("good").cast("int").alias("label"))
     model = learning.train_forest(rows, trees=8, depth=4)
@@ -168,9 +174,10 @@ def _features_sql() -> str:
 kept AS (SELECT m.* FROM matches m JOIN best b ON m.pair = b.pair WHERE pow(m.dx - b.dx, 2) + pow(m.dy - b.dy, 2) <= 25),
 means AS (SELECT pair, count(*) n, avg(dx) ra, avg(dy) rb, avg(dx % 7) sa, avg(dy % 7) sb, avg(ord % 4) oa, avg(ord % 3) ob FROM kept GROUP BY 1),
 f AS (SELECT a.section_id, a.tile_id a, b.tile_id b, {shared("f")} FROM jiggled a JOIN jiggled b ON a.section_id = b.section_id AND b.tile_id < a.tile_id AND {OVERLAP}),
-s AS (SELECT a.section_id, a.tile_id a, b.tile_id b, {shared("s")} FROM tiles a JOIN tiles b ON a.section_id = b.section_id AND b.tile_id < a.tile_id AND {OVERLAP})
-SELECT f.section_id, f.a, f.b, CAST(19 AS INTEGER) AS size, round(-1 + -1 + f2 + f3 + f4 + n + total + ra + rb + sa + sb + oa + ob - 1 - 1 + s2 + s3 + s4 + CAST(n AS DOUBLE) / total, 4) AS checksum
-FROM f JOIN s ON s.section_id = f.section_id AND s.a = f.a AND s.b = f.b JOIN means ON means.pair = f.a JOIN totals ON totals.pair = f.a"""
+s AS (SELECT a.section_id, a.tile_id a, b.tile_id b, {shared("s")} FROM tiles a JOIN tiles b ON a.section_id = b.section_id AND b.tile_id < a.tile_id AND {OVERLAP}),
+v AS (SELECT f.section_id, f.a, f.b, [-1, -1, f2, f3, f4, n, CAST(total AS DOUBLE) / (total + p_size), ra, rb, sa, sb, oa, ob, -1, -1, s2, s3, s4, CAST(n AS DOUBLE) / total]::DOUBLE[] v
+  FROM f JOIN s ON s.section_id = f.section_id AND s.a = f.a AND s.b = f.b JOIN means ON means.pair = f.a JOIN totals ON totals.pair = f.a JOIN part ON p_partkey = f.a)
+SELECT section_id, a, b, {", ".join(f"round(v[{i}], 6) + 0 f{i}" for i in range(1, 20))} FROM v"""
 
 
 @query(_features_sql())
@@ -181,11 +188,66 @@ def feature_vectors(spark, sf_dir):
     o = F.col("ord")
     sides = {"response_a": F.col("dx"), "response_b": F.col("dy"), "size_a": F.col("dx") % 7, "size_b": F.col("dy") % 7, "octave_a": o % 4, "octave_b": o % 3}
     means = matching.inlier_means(kept.withColumns(sides), ["pair"]).join(m.groupBy("pair").agg(F.count("*").alias("total")), "pair").withColumnRenamed("pair", "a")
+    unmatched = ls.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_size").alias("unmatched"))  # keypoints that match nothing
     t = ls.tiles(spark, sf_dir)
     a, b = [f"a_{c}" for c in spatial.BOX], [f"b_{c}" for c in spatial.BOX]
     before = spatial.overlap_pairs(t, canonical=True).select("section_id", "a", "b", learning.pair_features(a, b).alias("before"))
     after = spatial.overlap_pairs(ls.jiggled(t), canonical=True).select("section_id", "a", "b", learning.pair_features(a, b).alias("after"))
-    pairs = after.join(before, ["section_id", "a", "b"]).join(means, "a")
-    vector = learning.feature_vector(F.col("after"), ["n", "total", *matching.KEYPOINT_MEANS], F.col("before"), F.col("n") / F.col("total"))
+    pairs = after.join(before, ["section_id", "a", "b"]).join(means, "a").join(unmatched, "a")
+    vector = learning.feature_vector(F.col("after"), "n", "total", F.col("total") + F.col("unmatched"), matching.KEYPOINT_MEANS, F.col("before"), F.col("n") / F.col("total"))
     out = pairs.select("section_id", "a", "b", vector.alias("v"))
-    return out.select("section_id", "a", "b", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("checksum"))
+    return out.select("section_id", "a", "b", *((F.round(F.col("v")[i], 6) + 0.0).alias(f"f{i + 1}") for i in range(learning.N_FEATURES)))
+
+
+@query(f"WITH {ls.TILES} SELECT section_id, tile_id, CAST(mfov_id AS BIGINT) mfov, tile_id tile_index, CAST(x_start AS BIGINT) x_start, CAST(x_finish AS BIGINT) x_finish, CAST(y_start AS BIGINT) y_start, CAST(y_finish AS BIGINT) y_finish, '/s/' || tile_id filepath, tile_id / 4.0::DOUBLE offset_x, CAST(NULL AS DOUBLE) offset_y FROM tiles WHERE x_start >= 5000 AND y_start >= 2000 AND x_finish <= 50000 AND y_finish <= 48000")
+def message_tiles(spark, sf_dir):
+    """Tiles as one binary message of sections, and those of a box read back."""
+    path = _place(spark, "messages")
+    t = _tiles(spark, sf_dir).withColumns({"filepath": F.concat(F.lit("/s/"), F.col("tile_id").cast("string")), "offset_x": F.col("tile_id") / 4.0})
+    messages.write_messages(t, path, box=(5000, 50000, 2000, 48000))
+    return messages.read_messages(spark, path)
+
+
+def _rendered_sql() -> str:
+    from tessera.plans.queries import PIXELS
+
+    return f"""WITH {PIXELS}, r AS (SELECT section_id + tile_id % 2 section_id, x + tile_id % 4 * 40 x, y, max(value) AS value FROM px GROUP BY 1, 2, 3)
+SELECT CAST(section_id AS VARCHAR) name, CAST((max(x) // 32 - min(x) // 32 + 1) * 32 AS INTEGER) width, CAST((max(y) // 32 - min(y) // 32 + 1) * 32 AS INTEGER) height, CAST(sum(value) AS BIGINT) total,
+  CAST(sum(value * ((x - min_x // 32 * 32) + 2 * (y - min_y // 32 * 32))) AS BIGINT) moment
+FROM (SELECT *, min(x) OVER (PARTITION BY section_id) min_x, min(y) OVER (PARTITION BY section_id) min_y FROM r) GROUP BY 1"""
+
+
+@query(_rendered_sql())
+def stored_renders(spark, sf_dir):
+    """Renders as one grey-map file a section, and read back."""
+    from tessera.operators import raster
+    from tessera.plans.queries import _pixels
+
+    px = _pixels(spark, sf_dir).select((F.col("section_id") + F.col("tile_id") % 2).alias("section_id"), (F.col("x") + F.col("tile_id") % 4 * 40).alias("x"), "y", "value")
+    drawn = px.groupBy("section_id", "x", "y").agg(F.max("value").alias("value"))
+    path = _place(spark, "renders")
+    files.write_rasters(raster.to_blocks(drawn, ["section_id"], 32), path)
+    back = files.read_rasters(spark, path)
+    own = raster.pixels(back.withColumn("wide", F.col("width")), ["name", "wide", "height"]).withColumnRenamed("wide", "width")
+    v = F.col("value").cast("long")
+    return own.groupBy("name", "width", "height").agg(F.sum(v).alias("total"), F.sum(v * (F.col("x") + 2 * F.col("y"))).alias("moment"))
+
+
+OUTCOMES = ["line", "status"]
+
+
+@query("""WITH o AS (SELECT l_linenumber line, l_linestatus status, l_returnflag = 'R' ok, CAST(round(l_extendedprice * 100) AS HUGEINT) AS cost FROM lineitem),
+s AS (SELECT line, status, count(*) trials, CAST(count_if(ok) AS BIGINT) good, CAST(sum(cost) AS DOUBLE) / 100 total, CAST(sum(cost * cost) AS DOUBLE) / 10000 squares FROM o GROUP BY 1, 2),
+t AS (SELECT *, good / CAST(trials AS DOUBLE) accuracy, total / trials AS cost FROM s),
+beaten AS (SELECT i.line, i.status FROM t i WHERE i.trials >= 200 AND EXISTS (FROM t j WHERE (j.line, j.status) <> (i.line, i.status) AND j.trials >= 200 AND i.accuracy <= j.accuracy AND i.cost >= j.cost)),
+gone AS (SELECT line, status FROM beaten ORDER BY line, status LIMIT 1)
+SELECT t.line, t.status, trials, round(accuracy, 9) accuracy, round(t.cost, 6) AS cost, round(sqrt(greatest(squares - total * total / trials, 0) / (trials - 1)), 4) cost_std FROM t ANTI JOIN gone g ON g.line = t.line AND g.status = t.status""")
+def merged_outcomes(spark, sf_dir):
+    """M7: outcomes of settings merged batch by batch into a stored table, one beaten setting pruned."""
+    li = ls.read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("status"), (F.col("l_returnflag") == "R").alias("ok"), F.col("l_extendedprice").alias("cost"), (F.col("l_suppkey") % 3).alias("batch"))
+    path = _place(spark, "outcomes")
+    for k in range(3):
+        setting_state.upsert(li.where(F.col("batch") == k), path, OUTCOMES, "ok", "cost")
+    state = setting_state.stored(setting_state.pruned_one(setting_state.current(spark, path), OUTCOMES), path)
+    stats = setting_state.statistics(state, OUTCOMES)
+    return stats.select("line", "status", "trials", F.round("accuracy", 9).alias("accuracy"), F.round("cost", 6).alias("cost"), F.round("cost_std", 4).alias("cost_std"))

@@ -342,13 +342,58 @@ def test_match_pairs_finds_the_offset(spark):
     assert (round(r.dx), round(r.dy), r.accepted) == (17, -4, True) and r.support == r.total == 40
 
 
-def test_coarse_affine(spark):
+def coarse_sides(spark, n=60, tiles=3):
     draw = np.random.default_rng(8)
-    rows = [(0, i, float(draw.uniform(0, 500)), float(draw.uniform(0, 500)), 1.0, draw.normal(size=8).tolist()) for i in range(60)]
-    left = spark.createDataFrame(rows, "pair long, id long, x double, y double, response double, v array<double>")
-    right = left.withColumns({"x": F.col("x") * 1.1 + F.col("y") * 0.1 + 3, "y": F.col("y") * 0.9 - 5})
+    rows = [(0, i % tiles, i, float(draw.uniform(0, 500)), float(draw.uniform(0, 500)), 10.0 ** (i % tiles), draw.normal(size=8).tolist()) for i in range(n)]
+    left = spark.createDataFrame(rows, "pair long, tile_id int, id long, x double, y double, response double, v array<double>")
+    return left, left.withColumns({"x": F.col("x") * 1.1 + F.col("y") * 0.1 + 3, "y": F.col("y") * 0.9 - 5})
+
+
+def test_coarse_affine(spark):
+    left, right = coarse_sides(spark)  # each tile's strongest keypoint is its own
     r = pipelines.coarse_affine(left, right, ["pair"], threshold=1.0).first()
-    assert np.allclose([r.a00, r.a01, r.tx, r.a10, r.a11, r.ty], [1.1, 0.1, 3, 0, 0.9, -5], atol=1e-6)
+    assert r.n == 60 and np.allclose([r.a00, r.a01, r.tx, r.a10, r.a11, r.ty], [1.1, 0.1, 3, 0, 0.9, -5], atol=1e-6)
+    weak = left.withColumn("response", F.when(F.col("id") % 5 == 0, F.col("response") * 0.98).otherwise(F.col("response")))
+    assert pipelines.coarse_affine(weak, right, ["pair"], threshold=1.0).first().n == 48
+
+
+def test_coarse_affine_needs_its_matches(spark):
+    left, right = coarse_sides(spark, 31)  # under 32 after the first consensus
+    assert pipelines.coarse_affine(left, right, ["pair"], threshold=1.0).collect() == []
+    assert pipelines.coarse_affine(left, right, ["pair"], threshold=1.0, least=(31, 12)).first().n == 31
+    assert pipelines.coarse_affine(left, right, ["pair"], threshold=1.0, least=(31, 32)).collect() == []
+
+
+def test_coarse_models_try_again(spark):
+    left, right = coarse_sides(spark)
+    left, right = left.withColumnRenamed("pair", "section_id"), right.withColumnRenamed("pair", "section_id")
+    seeds = []
+
+    def coarse(a, b, keys, seed):
+        seeds.append(seed)
+        found = pipelines.coarse_affine(a, b, keys, threshold=1.0, seed=seed)
+        return found if seed == 4 else found.limit(0)
+
+    assert volume.coarse_models(left, right, coarse).count() == 1 and seeds == [1, 2, 3, 4]
+    seeds.clear()
+    assert volume.coarse_models(left, right, lambda *a, seed: coarse(*a, seed=seed + 20)).count() == 0 and len(seeds) == 10
+
+
+def test_affine_consensus_is_dealt_out(spark):
+    rows = spark.range(4000).select((F.col("id") % 400).alias("pair"), *((F.col("id") * k % 97).cast("double").alias(c) for k, c in ((7, "x"), (11, "y"), (13, "u"), (17, "v"))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = matching.affine_consensus(rows, ["pair"], 2.0)
+    assert found.count() == 400
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_winner_is_a_plain_count():
+    draw = np.random.default_rng(6)
+    p = draw.uniform(0, 50, (3000, 4)).round()
+    p[: len(p) // 3, 2:] = p[: len(p) // 3, :2] + 4
+    ordinal, models = matching._triple_models(p[:40], 200, 3)
+    counts = [int(((m[0] * p[:, 0] + m[1] * p[:, 1] + m[2] - p[:, 2]) ** 2 + (m[3] * p[:, 0] + m[4] * p[:, 1] + m[5] - p[:, 3]) ** 2 <= 9).sum()) for m in models]
+    assert matching._winner(p, models, 3.0) == (int(np.argmax(counts)), max(counts)) and len(ordinal) > 100
 
 
 def test_rasters(spark):
@@ -357,8 +402,6 @@ def test_rasters(spark):
     frame = spark.createDataFrame([(1, 7, bytearray(image.tobytes()), 50), (1, 8, None, 50)], "section_id long, tile_id long, data binary, width int")
     px = raster.pixels(frame, ["section_id", "tile_id"])
     assert px.count() == 2000 and px.where("value = 200").count() == 150
-    found = {(r.x, r.y) for r in raster.keypoints(frame, ["section_id", "tile_id"], most=4).collect()}
-    assert len(found) == 4 and all(min(abs(x - a) + abs(y - b) for a in (15, 29) for b in (10, 19)) <= 4 for x, y in found)
     drawn = spark.createDataFrame([(s, x, y, 0 if s == 1 and (x, y) == (2, 2) else 10 * s) for s in (0, 1, 2) for x in range(5) for y in range(5)], "section_id long, x long, y long, value int")
     assert raster.patched(drawn, "section_id").where("section_id = 1 AND x = 2 AND y = 2").first().value == 20
 
