@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators.mesh import with_corners
-from tessera.operators.raster import image_of
+from tessera.operators.raster import image_of, spread_out
 from tessera.operators.spatial import BOX, box_join
 
 #: A block may take one affine below so many pixels, and isn't split at so many.
@@ -165,7 +165,7 @@ def warp_tiles(tiles: DataFrame, triangles: DataFrame, mesh: DataFrame, keys: Se
                 held = batch.select(names).take(pa.array(np.full(len(out), i)))
                 yield pa.RecordBatch.from_arrays([*held.columns, *(pa.array([o[k] for o in out], t) for k, t in enumerate(arrow))], names=[*names, *columns])
 
-    return rows.mapInArrow(work, f"{types}, {_PATCH}")
+    return spread_out(rows, *names).mapInArrow(work, f"{types}, {_PATCH}")
 
 
 def mosaic(patches: DataFrame, keys: Sequence[str], *, block: int = BLOCK) -> DataFrame:
