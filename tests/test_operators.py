@@ -279,6 +279,21 @@ def test_jiggle_is_the_sequential_one(spark):
         assert 5 < moved <= 40 and all(np.allclose(got[k], box[k], atol=1e-9) for k in box)
 
 
+def test_rounds_follow_the_number_of_tiles(spark, monkeypatch):
+    """Not the longest chain of dependencies, and blocks of any size give the same."""
+    made, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: made.append(name) or plain(df, name))
+    chain = spark.createDataFrame([(0, i, i + 1) for i in range(60)], "section_id long, a long, b long")
+    assert {r.tile_id: r.colour for r in graph.greedy_colours(chain, ["section_id"]).collect()} == {i: i % 2 for i in range(61)}
+    row = spark.createDataFrame([(0, i, 50.0 * i, 50.0 * i + 100, 0.0, 80.0) for i in range(60)], "section_id long, tile_id long, x_start double, x_finish double, y_start double, y_finish double")
+    whole = sorted(graph.jiggle(row, ["section_id"], 30.0, allow_new=False, cell=150).collect())
+    assert len(made) <= 6
+    assert sorted(graph.jiggle(row, ["section_id"], 30.0, allow_new=False, cell=150, at_once=13).collect()) == whole
+    drawn = np.random.default_rng(2).integers(0, 50, (300, 2)).tolist()
+    dense = spark.createDataFrame([(s, a, b) for s in (0, 1) for a, b in drawn], "section_id long, a long, b long")
+    assert sorted(graph.greedy_colours(dense, ["section_id"]).collect()) == sorted(graph.greedy_colours(dense, ["section_id"], at_once=11).collect())
+
+
 def test_mesh_covers_and_moves(spark):
     extent = spark.createDataFrame([(0, 0.0, 30000.0, 0.0, 20000.0)], "section_id long, x_start double, x_finish double, y_start double, y_finish double")
     grid = mesh.hex_grid(extent, ["section_id"], 6000.0)
