@@ -155,6 +155,19 @@ def test_large_sections_settle_like_small_ones(spark):
     assert np.allclose([small[p] for p in places], [large[p] for p in places], atol=1e-6)
 
 
+def test_sections_of_many_edges_are_large(spark, monkeypatch):
+    """A task's edges are bounded, not only its tiles."""
+    given, plain = [], graph.solve_distributed
+    monkeypatch.setattr(graph, "solve_distributed", lambda e, t, k: given.append(t.count()) or plain(e, t, k))
+    edges = spark.createDataFrame([(0, 0, 1, 5.0, 0.0), (0, 1, 2, 4.0, 1.0), (0, 0, 2, 9.0, 0.0), (1, 0, 1, 3.0, 1.0)], "section_id long, a long, b long, ideal_dx double, ideal_dy double")
+    tiles = spark.createDataFrame([(s, i, 10.0 * i * i, 3.0 * i) for s in (0, 1, 2) for i in range(3)], "section_id long, tile_id long, x double, y double")
+    both = graph.symmetric(edges, ["section_id"])
+    whole = {(r.section_id, r.tile_id): (r.x, r.y) for r in graph.solve_positions(both, tiles, ["section_id"]).collect()}
+    parted = {(r.section_id, r.tile_id): (r.x, r.y) for r in graph.solve_positions(both, tiles, ["section_id"], most_edges=4).collect()}
+    assert given == [3] and len(whole) == 9 and parted.keys() == whole.keys()
+    assert np.allclose([parted[k] for k in sorted(whole)], [whole[k] for k in sorted(whole)], atol=1e-6)
+
+
 def test_large_keys_get_the_same_affine(spark, monkeypatch):
     monkeypatch.setattr(matching, "POOL", 40)
     draw = np.random.default_rng(10)
