@@ -47,3 +47,26 @@ def test_points_carried_with_pairs(spark, sf_dir):
     pairs = spatial.overlap_pairs(t.join(own, ["section_id", "tile_id"]), canonical=True, carry=["points"])
     want = raster.in_padded_overlap(points, pairs, KEYS).groupBy("section_id", "a", "b").agg(F.count("*").alias("n"))
     assert sorted(raster.count_in_padded_overlap(pairs, KEYS).collect()) == sorted(want.collect()) and want.count() > 0
+
+
+def test_pairs_of_uneven_boxes_by_brute_force(spark):
+    boxes = [(i, float(i * 7919 % 9000 - 3000), float(i * 104729 % 7000 - 2000), 10.0 + i * 37 % 4000, 10.0 + i * 53 % 3000) for i in range(120)]
+    tiles = spark.createDataFrame([(0, i, x, x + w, y, y + h) for i, x, y, w, h in boxes], "section_id long, tile_id long, x_start double, x_finish double, y_start double, y_finish double")
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] != b[0] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4]}
+    for cell in (500, 3000, 20_000):
+        met = [tuple(r) for r in spatial.overlap_pairs(tiles, cell=cell).select("a", "b").collect()]
+        assert len(met) == len(want) and set(met) == want
+        a, b = spatial.sides()
+        some = spatial.with_any(tiles, tiles, KEYS, cell, g.overlaps(a, b) & (F.col("a.tile_id") != F.col("b.tile_id")))
+        assert some.columns == tiles.columns and {r.tile_id for r in some.collect()} == {a for a, _ in want}
+
+
+def test_cross_groups_make_no_pairs(spark, sf_dir):
+    plan = load()[0]["cross_group_overlap"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and joins(load()[0]["cross_group_overlap"](spark, sf_dir)) == 1
+
+
+def test_whole_coordinates_are_cut_before_tiles_meet(spark, sf_dir):
+    plan = spatial.overlap_pairs(ls.tiles(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    met = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "_whole_x_start" in met and "cast(" not in met.lower() and "floor" not in met.lower()
