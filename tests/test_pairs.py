@@ -70,3 +70,18 @@ def test_whole_coordinates_are_cut_before_tiles_meet(spark, sf_dir):
     plan = spatial.overlap_pairs(ls.tiles(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     met = next(line for line in plan.splitlines() if "Join Inner" in line)
     assert "_whole_x_start" in met and "cast(" not in met.lower() and "floor" not in met.lower()
+
+
+@pytest.mark.parametrize("n", [0, 7, 8, 9, 23])
+def test_few_and_many_points_carried_with_pairs(spark, sf_dir, n):
+    t = ls.tiles(spark, sf_dir)
+    own = t.select("section_id", "tile_id", F.transform(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda i: F.struct((F.col("x_start") + i * 200).alias("x"), (F.col("y_start") + i * 170).alias("y"))).alias("points"))
+    pairs = spatial.overlap_pairs(t.join(own, ["section_id", "tile_id"]), canonical=True, carry=["points"])
+    points = own.select("section_id", "tile_id", F.inline("points"))
+    want = raster.in_padded_overlap(points, pairs, KEYS).groupBy("section_id", "a", "b").agg(F.count("*").alias("n"))
+    assert sorted(raster.count_in_padded_overlap(pairs, KEYS).collect()) == sorted(want.collect()) and bool(want.count()) == bool(n)
+
+
+def test_points_of_pairs_are_counted_by_batches(spark, sf_dir):
+    plan = load()[0]["overlap_keypoints"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "filter(" not in plan
