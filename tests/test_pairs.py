@@ -85,3 +85,27 @@ def test_few_and_many_points_carried_with_pairs(spark, sf_dir, n):
 def test_points_of_pairs_are_counted_by_batches(spark, sf_dir):
     plan = load()[0]["overlap_keypoints"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "filter(" not in plan
+
+
+def test_boxes_meet_by_their_roles(spark, sf_dir):
+    """Only the owner cell's boxes meet, and a canonical pair is found one way."""
+    t = ls.tiles(spark, sf_dir)
+    plan = spatial.overlap_pairs(t, canonical=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_role" in next(line for line in plan.splitlines() if "Join Inner" in line)
+    both = spatial.overlap_pairs(t, carry=["bad"]).where("b < a")
+    once = spatial.overlap_pairs(t, canonical=True, carry=["bad"])
+    assert once.columns == both.columns and sorted(once.collect()) == sorted(both.collect()) and once.count() > 0
+
+
+def test_ordered_pairs_of_uneven_boxes_by_brute_force(spark):
+    boxes = [(i * 31 % 97, float(i * 7919 % 9000 - 3000), float(i * 104729 % 7000 - 2000), 10.0 + i * 37 % 4000, 10.0 + i * 53 % 3000) for i in range(120)]  # some ids repeat
+    tiles = spark.createDataFrame([(0, i, x, x + w, y, y + h) for i, x, y, w, h in boxes], "section_id long, tile_id long, x_start double, x_finish double, y_start double, y_finish double")
+    want = sorted((a[0], b[0], a[1], b[1]) for a in boxes for b in boxes if b[0] < a[0] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4])
+    for cell in (500, 3000, 20_000):
+        met = spatial.overlap_pairs(tiles, cell=cell, canonical=True)
+        assert sorted((r.a, r.b, r.a_x_start, r.b_x_start) for r in met.collect()) == want
+
+
+def test_pair_features_by_columns(spark, sf_dir):
+    plan = load()[0]["pair_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(" not in plan
