@@ -27,10 +27,11 @@ def extent(tiles: DataFrame, keys: Sequence[str] = (), *, bad: str | None = None
     return out.withColumns(fix).drop("seed")
 
 
-def histogram(df: DataFrame, bucket: Column, most: int, *, dense: bool = False) -> DataFrame:
+def histogram(df: DataFrame, bucket: Column, most: int, *, dense: bool = False, rows: str | None = None) -> DataFrame:
     """Rows by integer bucket, the last one open; ``dense`` also has the empty buckets
-    below the largest.  Returns bucket, n."""
-    counts = df.groupBy(F.least(bucket.cast("int"), F.lit(most)).alias("bucket")).agg(F.count("*").alias("n"))
+    below the largest; ``rows`` is the column of how many a row stands for.  Returns bucket, n."""
+    counts = df.groupBy(F.least(bucket.cast("int"), F.lit(most)).alias("bucket")).agg((F.sum(rows) if rows else F.count("*")).alias("n"))
+    counts = counts.where("n <> 0") if rows else counts
     if not dense:
         return counts
     top = counts.agg(F.max("bucket").alias("top"))
