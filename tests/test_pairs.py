@@ -109,3 +109,41 @@ def test_ordered_pairs_of_uneven_boxes_by_brute_force(spark):
 def test_pair_features_by_columns(spark, sf_dir):
     plan = load()[0]["pair_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "array(" not in plan
+
+
+def test_pairs_counted_by_distinct_boxes(spark):
+    rows = [(i % 2, None if i % 29 == 0 else i * 7 % 61, float(i % 9 * 700), float(i % 9 * 700 + 1500), float(i % 5 * 600), float(i % 5 * 600 + 900)) for i in range(160)]  # boxes and ids repeat
+    rows += [(0, 900, 1.0, 1.5, 1.0, 2.5), (0, 901, 1.0, 1.5, 1.0, 2.5)]  # nothing is left when cut
+    tiles = spark.createDataFrame(rows, "section_id long, tile_id long, x_start double, x_finish double, y_start double, y_finish double")
+
+    def counts(pairs, n):
+        boxes = [F.array_sort(F.array(*(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in spatial.BOX)) for s in "ab"))).alias("boxes")]
+        return sorted(map(str, pairs.groupBy("section_id", *boxes).agg(F.sum(n).alias("n")).where("n <> 0").collect()))
+
+    want = counts(spatial.overlap_pairs(tiles, canonical=True), F.lit(1))
+    assert counts(spatial.overlap_counts(tiles), F.col("n")) == want and len(want) > 9
+
+
+def test_copies_of_tiles_make_no_more_pairs(spark, sf_dir):
+    t = ls.tiles(spark, sf_dir)
+    many = t.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("tile_id", F.col("tile_id") * 10 + F.col("k"))
+    one, five = (spatial.overlap_counts(x).where("a_x_start <> b_x_start") for x in (t, many))
+    assert five.count() == one.count() > 0 and five.agg(F.sum("n")).first()[0] == 25 * one.agg(F.sum("n")).first()[0]
+
+
+def test_draws_are_a_column_of_their_own(spark, sf_dir):
+    plan = load()[0]["sampled_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(line for line in plan.splitlines() if "Sort " in line)
+    assert "md5" not in sort and "conv(" not in plan
+
+
+def test_feature_numbers_of_a_tile_are_computed_for_tiles(spark, sf_dir):
+    plan = load()[0]["feature_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()[0]
+    assert "array(" not in plan.split("Join")[0] and "round(response_a" not in top and top.count("round(") <= 6 * 2
+
+
+def test_whole_numbers_are_rounded_as_they_are(spark):
+    values = [0.0, -0.0, 1.0, -3.0, 0.1234565, -2.5000005, 1e18, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(g.rounded("v", 6).alias("a"), F.round("v", 6).alias("b"))
+    assert [str(r.a) for r in df.collect()] == [str(r.b) for r in df.collect()] or all(r.a == r.b or str(r.a) == str(r.b) for r in df.collect())
