@@ -37,3 +37,10 @@ def test_missing_offsets_agree_with_nothing(spark):
 def test_rows_are_scored_by_batches(spark, sf_dir):
     plan = matching.consensus(ls.matches(spark, sf_dir), ["pair"], 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_attempts_are_counted_side_by_side(spark, sf_dir):
+    from tessera.plans.registry import load
+
+    plan = load()[0]["multi_ratio_pick"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan
