@@ -547,3 +547,18 @@ def test_a_section_takes_its_edges_batch_by_batch(spark, monkeypatch):
         ideal = np.array([e[2:] for e in own]).reshape(-1, 2)
         want = x + graph.solved_offsets(a, b, np.concatenate([ideal, -ideal]), x)
         assert np.allclose([got[s, i] for i in range(40)], want, atol=1e-3)
+
+
+def test_relaxation_finds_edges_again_instead_of_joining_them(spark, sf_dir):
+    """The edges of all tiles used to go through a shuffle by tile each step; now none leaves its task."""
+    keys, edges = ["section_id"], graph.symmetric(lenses.edges(spark, sf_dir), ["section_id"])
+    places = lenses.positions(spark, sf_dir)
+    asked = []
+
+    def again(now):
+        asked.append(now)
+        return graph.symmetric(lenses.edges(spark, sf_dir, now=now), keys, ends=("x", "y"))
+
+    got, want = ({(r.section_id, r.tile_id): (r.x, r.y) for r in graph.relax(e, places, keys, 3).collect()} for e in (again, edges))
+    assert len(asked) == 3 and got.keys() == want.keys()
+    assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-8)
