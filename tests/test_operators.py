@@ -562,3 +562,16 @@ def test_relaxation_finds_edges_again_instead_of_joining_them(spark, sf_dir):
     got, want = ({(r.section_id, r.tile_id): (r.x, r.y) for r in graph.relax(e, places, keys, 3).collect()} for e in (again, edges))
     assert len(asked) == 3 and got.keys() == want.keys()
     assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-8)
+
+
+def test_jiggle_writes_no_neighbours(spark, monkeypatch):
+    """What is written is tiles, never pairs of them; sections take turns where they have many tiles at once."""
+    made, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: made.append((name, df.count())) or plain(df, name))
+    monkeypatch.setattr(graph, "shared_dir", None)  # pairs were written there
+    draw = np.random.default_rng(3)
+    rows = [(s, i, float(x), float(x + 100), float(y), float(y + 80)) for s in range(5) for i, (x, y) in enumerate(draw.integers(0, 120, (30, 2)))]
+    frame = spark.createDataFrame(rows, "section_id long, tile_id long, x_start double, x_finish double, y_start double, y_finish double")
+    whole = sorted(graph.jiggle(frame, ["section_id"], 20.0, allow_new=False, cell=150).collect())
+    assert len(whole) == len(rows) and max(n for _, n in made) <= len(rows)
+    assert sorted(graph.jiggle(frame, ["section_id"], 20.0, allow_new=False, cell=150, at_once=17, turns=30).collect()) == whole
