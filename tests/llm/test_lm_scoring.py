@@ -168,3 +168,32 @@ def test_defined_cases(spark):
     assert lm_scoring.score_texts(spark.createDataFrame([], kind)).collect() == []
     untrained = lm_scoring.score_texts(spark.createDataFrame(rows[:2], kind)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in untrained)
+
+
+def test_weights_are_fitted_to_all_training_documents(spark, monkeypatch):
+    """Where the steps begin doesn't matter, and the slope over every training bit, each half judged by the other, ends there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    blocks = lm_scoring._blocks(docs.repartition(3))
+    code, _, weights, _, _ = lm_scoring.fit(blocks)
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 2)
+    assert np.allclose(lm_scoring.fit(blocks)[2], weights, atol=3e-3)
+    rows = [r for r in docs.select("doc_id", "text").collect() if trains(r.doc_id)]
+    streams = []
+    for half in (0, 1):
+        texts = [(r.text or "").encode() for r in rows if lm_scoring._half(r.doc_id) == half]
+        stream, _ = mixing.stream_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        streams.append((stream, mixing.tokens_of(stream)))
+    slope, size = np.zeros((mixing.GATES, 4)), np.zeros((mixing.GATES, 4))
+    for own, (stream, starts) in zip(streams, streams[::-1]):
+        table = np.zeros((mixing.STARTS[-1], 2), np.int32)
+        mixing.count_bits(table, *own, code)
+        said = mixing.predictions(table)
+        said[: 1 << mixing.BITS[0]] = mixing.predictions(mixing.node_counts(mixing.class_counts(*own, code.classes), code))
+        x = mixing.inputs_of(mixing.batch_of(stream, starts, 0, len(stream), code), said)
+        gate, x = mixing.gates_of(x), x.astype(float)
+        q = 1 / (1 + np.exp(np.clip((x * weights[gate]).sum(1), -30, 30)))
+        for g in range(mixing.GATES):
+            slope[g] -= x[gate == g].T @ q[gate == g]
+            size[g] += np.abs(x[gate == g]).T @ q[gate == g]
+    slope += mixing.RIDGE * (weights - 1.5 / 48)
+    assert (np.abs(slope) <= 0.02 * size + 30).all()
