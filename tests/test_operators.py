@@ -575,3 +575,19 @@ def test_jiggle_writes_no_neighbours(spark, monkeypatch):
     whole = sorted(graph.jiggle(frame, ["section_id"], 20.0, allow_new=False, cell=150).collect())
     assert len(whole) == len(rows) and max(n for _, n in made) <= len(rows)
     assert sorted(graph.jiggle(frame, ["section_id"], 20.0, allow_new=False, cell=150, at_once=17, turns=30).collect()) == whole
+
+
+def test_colours_by_place_are_those_of_the_edges(spark, sf_dir, monkeypatch):
+    """No edge is written: tables are no longer than the tiles."""
+    tiles = lenses.tiles(spark, sf_dir)
+    want = sorted(graph.greedy_colours(lenses.edges(spark, sf_dir), ["section_id"]).collect())
+    crowd = tiles.withColumns({x: F.col(x) / 5 + (2502.4 if x == "x_finish" else 2179.2 if x == "y_finish" else 0) for x in spatial.BOX})
+    near = spatial.overlap_pairs(crowd, least=50, canonical=True).select("section_id", "a", "b")
+    dense, edges = sorted(graph.greedy_colours(near, ["section_id"]).collect()), near.count()
+    made, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: made.append(df.count()) or plain(df, name))
+    monkeypatch.setattr(graph, "shared_dir", None)  # edges were written there
+    got = queries.greedy_color(spark, sf_dir)
+    assert sorted(got.collect()) == want and got.schema == graph.tile_colours(tiles.limit(0), ["section_id"], 50).schema
+    assert sorted(graph.tile_colours(crowd, ["section_id"], 50, at_once=13, turns=40).collect()) == dense
+    assert max(r.colour for r in dense) > 5 and max(made) <= tiles.count() < edges
